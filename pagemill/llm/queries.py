@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, mixing, packing, warc
 from .scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op7_mixing": op7_mixing, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
