@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, packing, warc
+from . import bpe, mixing, packing, rules, warc
 from .scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(table(spark, sf_dir, "documents"))
 
@@ -34,8 +38,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op7_mixing": op7_mixing, "op9_warc": op9_warc}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_line_rules": op3_line_rules, "op7_mixing": op7_mixing, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_rules": rules.ORACLE}
