@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, packing, rules, warc
+from . import bpe, langid, mixing, packing, rules, warc
 from .scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_line_rules": op3_line_rules, "op7_mixing": op7_mixing, "op9_warc": op9_warc}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_line_rules": op3_line_rules, "op7_mixing": op7_mixing, "op8_language": op8_language, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
