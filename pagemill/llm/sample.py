@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def by_class(rows: DataFrame, label: str, key: str, text: str, most: int, classes: int = 2000) -> list[tuple]:
-    """(label, text) of about ``most`` rows of each class at most, by a hash of key and text, in a fixed order.
+def by_class(rows: DataFrame, label: str, key: str, text: str, most: int | dict, classes: int = 2000) -> list[tuple]:
+    """(label, text) of ``most`` rows of each class at most (or of a class's own number), by a hash of key and text, in a fixed order.
 
     The classes are counted over all rows; over ``classes`` of them are refused with ValueError. Rows
     are drawn by a threshold on the hash, so no task sees more than its part of the sample.
@@ -18,13 +18,14 @@ def by_class(rows: DataFrame, label: str, key: str, text: str, most: int, classe
     if not counts:
         return []
     # 1.1 with a margin for the spread of the draw; the surplus is cut below.
-    limit = {r[label]: min(1.0, 1.1 * most / r["count"] + 20 / r["count"]) for r in counts}
+    bound = {r[label]: most[r[label]] if isinstance(most, dict) else most for r in counts}
+    limit = {r[label]: min(1.0, 1.1 * bound[r[label]] / r["count"] + 20 / r["count"]) for r in counts}
     draw = (F.pmod(F.xxhash64(F.lit("sample"), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
     share = F.create_map(*(F.lit(x) for pair in limit.items() for x in pair))
     got = rows.select(label, text, draw).where(F.col("draw") < F.try_element_at(share, F.col(label))).collect()
     got.sort(key=lambda r: (r["draw"], r[text]))
     kept: dict = {}
     for r in got:
-        if len(kept.setdefault(r[label], [])) < most:
+        if len(kept.setdefault(r[label], [])) < bound[r[label]]:
             kept[r[label]].append((r["draw"], r[text]))
     return [(c, t) for _, t, c in sorted((d, t, c) for c, rs in kept.items() for d, t in rs)]
