@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm, mixing, packing, rules, toxicity, warc
+from . import bpe, langid, lm, metric_join, mixing, packing, rules, toxicity, warc
 from .scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_links(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_line_rules": op3_line_rules, "op4_recurrent_lm": op4_recurrent_lm, "op5_toxicity": op5_toxicity, "op7_mixing": op7_mixing, "op8_language": op8_language, "op9_warc": op9_warc}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_line_rules": op3_line_rules, "op4_recurrent_lm": op4_recurrent_lm, "op5_toxicity": op5_toxicity, "op6_metric_join": op6_metric_join, "op7_mixing": op7_mixing, "op8_language": op8_language, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
