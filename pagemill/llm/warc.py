@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import scratch_path, ship
+from .scratch import scratch_path, ship, written
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -140,4 +140,4 @@ def digests(pages: DataFrame) -> DataFrame:
     """Archives of all pages are written to the shared folder, read back and resolved."""
     path = scratch_path(pages.sparkSession, "archives")
     write_archives(pages, path)
-    return resolve(read_archives(pages.sparkSession, path))
+    return resolve(written(read_archives(pages.sparkSession, path), "records"))
