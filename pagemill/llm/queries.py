@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm, metric_join, mixing, packing, rules, toxicity, warc
+from . import bpe, langid, lm, metric_join, minhash, mixing, packing, rules, toxicity, warc
 from .scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(table(spark, sf_dir, "pages"))
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_line_rules": op3_line_rules, "op4_recurrent_lm": op4_recurrent_lm, "op5_toxicity": op5_toxicity, "op6_metric_join": op6_metric_join, "op7_mixing": op7_mixing, "op8_language": op8_language, "op9_warc": op9_warc}
+    found = (op1_bpe, op2_packing, op3_line_rules, op4_recurrent_lm, op5_toxicity, op6_metric_join, op7_mixing, op8_language, op9_warc, op10_dart_minhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
