@@ -25,7 +25,7 @@ from .scratch import WORD, ship, written
 
 
 #: In the dot product bytes count so much, tokens and rows so much: sizes in bytes are to be near equal.
-LAW = np.array([8.0, 1.0, 1.0])
+LAW = np.array([32.0, 1.0, 1.0])
 
 
 def place(vectors: np.ndarray, residual: np.ndarray) -> np.ndarray:
