@@ -222,23 +222,21 @@ def train(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text",
     return Model(classes, w * idf[:, None] * SCALE, temperature)
 
 
-def predict(rows: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """key, the columns of keep, lang_pred and score of every whole text.
+def predict(rows: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """row, a struct of all columns of rows, lang_pred and score of every whole text.
 
     score: the calibrated probability of the class. Null texts and texts without a letter are ``und``
-    with score 0, and so is every text if there was nothing to learn. Repeated rows and null keys stay.
+    with score 0, and so is every text if there was nothing to learn. Repeated rows stay.
     """
     spark = rows.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
-    columns = [key, *keep, text]
-    kind = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in columns[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         lexicon = model.lexicon() if model else None
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(1).to_pylist()
             known = np.array([bool(model and t and LETTER.search(t)) for t in texts], bool)
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if known.any():
@@ -246,9 +244,10 @@ def predict(rows: DataFrame, model: Model | None, key: str = "doc_id", text: str
                 best = p.argmax(axis=1)
                 lang = [model.classes[k] if on else "und" for k, on in zip(best.tolist(), known.tolist(), strict=True)]
                 score = np.where(known, p[np.arange(len(texts)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    return rows.select(*columns[:-1], F.col(text).cast("string").alias(text)).mapInArrow(run, f"{kind}lang_pred string, score double")
+    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(text).cast("string").alias("t"))
+    return packed.mapInArrow(run, packed.select("row").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def learned(docs: DataFrame) -> Model | None:
@@ -258,5 +257,5 @@ def learned(docs: DataFrame) -> Model | None:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    out = predict(docs, learned(docs))
-    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    out = predict(docs.select("doc_id", "text"), learned(docs))
+    return out.select("row.doc_id", (remainder("row.doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

@@ -68,7 +68,7 @@ class Model:
         self.own = {w: i + 1 for i, w in enumerate(own)}
         self.hot, self.total, self.types, self.ends = hot, total, types, ends
         self.rest_total = total - ends - sum(hot[w] for w in own)
-        self.rest_types = types - 1 - len(own)
+        self.rest_types = max(0, types - 1 - len(own))
         n = len(own) + 1
         self.size = math.ceil(n / min(CLASSES, n))
         classes = math.ceil(n / self.size)
