@@ -2,30 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bounds(counts: dict, most: int | dict) -> tuple[dict, dict]:
+    """For each class the rows wanted and the share to draw, with a margin for the spread of the draw."""
+    bound = {c: most[c] if isinstance(most, dict) else most for c in counts}
+    return bound, {c: min(1.0, (1.1 * bound[c] + 20) / n) for c, n in counts.items()}
+
+
+def counted(rows: DataFrame, label: str, classes: int = 2000) -> dict:
+    found = rows.groupBy(label).count().limit(classes + 1).collect()
+    if len(found) > classes:
+        raise ValueError(f"over {classes} classes")
+    return {r[label]: r["count"] for r in found}
+
+
+def kept(got: list[tuple], bound: dict) -> list[tuple]:
+    """(class, text) of the first rows of each class, of (draw, text, class) in the order of the draw."""
+    out, n = [], dict.fromkeys(bound, 0)
+    for _, text, c in sorted(got):
+        n[c] += 1
+        if n[c] <= bound[c]:
+            out.append((c, text))
+    return out
+
+
+def drawn(*columns) -> Column:
+    """A number from 0 to 1 by a hash."""
+    return F.pmod(F.xxhash64(F.lit("sample"), *columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def by_class(rows: DataFrame, label: str, key: str, text: str, most: int | dict, classes: int = 2000) -> list[tuple]:
-    """(label, text) of ``most`` rows of each class at most (or of a class's own number), by a hash of key and text, in a fixed order.
+    """(label, text) of ``most`` rows of each class at most (or of a class's own number), by a hash of key and text.
 
     The classes are counted over all rows; over ``classes`` of them are refused with ValueError. Rows
-    are drawn by a threshold on the hash, so no task sees more than its part of the sample.
+    are drawn by a threshold on the hash, so no task sees more than its part of the sample. A row that
+    is there very often may fill its class.
     """
-    counts = rows.groupBy(label).count().limit(classes + 1).collect()
-    if len(counts) > classes:
-        raise ValueError(f"over {classes} classes")
+    counts = counted(rows, label, classes)
     if not counts:
         return []
-    # 1.1 with a margin for the spread of the draw; the surplus is cut below.
-    bound = {r[label]: most[r[label]] if isinstance(most, dict) else most for r in counts}
-    limit = {r[label]: min(1.0, 1.1 * bound[r[label]] / r["count"] + 20 / r["count"]) for r in counts}
-    draw = (F.pmod(F.xxhash64(F.lit("sample"), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
-    share = F.create_map(*(F.lit(x) for pair in limit.items() for x in pair))
-    got = rows.select(label, text, draw).where(F.col("draw") < F.try_element_at(share, F.col(label))).collect()
-    got.sort(key=lambda r: (r["draw"], r[text]))
-    kept: dict = {}
-    for r in got:
-        if len(kept.setdefault(r[label], [])) < bound[r[label]]:
-            kept[r[label]].append((r["draw"], r[text]))
-    return [(c, t) for _, t, c in sorted((d, t, c) for c, rs in kept.items() for d, t in rs)]
+    bound, share = bounds(counts, most)
+    share = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
+    alike = rows.select(label, text, drawn(key, text).alias("draw")).where(F.col("draw") < F.try_element_at(share, F.col(label))).distinct()
+    return kept([(r["draw"], r[text], r[label]) for r in alike.collect()], bound)
+
+
+def of_keys(docs: DataFrame, marks: DataFrame, label: str, key: str, text: str, most: dict) -> tuple[list[tuple], dict]:
+    """(label, text) as by_class, where the labels are in a table of their own, one for a key; and their numbers.
+
+    Labels meet the keys of docs alone; the sample's keys, which are bounded, are broadcast to fetch the
+    texts, so no text is shuffled but the sample's. Of texts with one key the least is taken.
+    """
+    met = docs.where(F.col(text).isNotNull()).select(key).distinct().join(marks, key).select(key, label)
+    counts = counted(met, label)
+    if not counts:
+        return [], counts
+    bound, share = bounds(counts, most)
+    share = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
+    keys = met.withColumn("draw", drawn(key)).where(F.col("draw") < F.try_element_at(share, F.col(label))).collect()
+    table = docs.sparkSession.createDataFrame([(r[key], r["draw"], r[label]) for r in keys], f"`{key}` {docs.schema[key].dataType.simpleString()}, draw double, `{label}` int")
+    got = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(table), key).groupBy(key, "draw", label).agg(F.min(text).alias(text)).collect()
+    return kept([(r["draw"], r[text], r[label]) for r in got], bound), counts

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import BITS, Lexicon, features, slices, words_of
-from .sample import by_class
+from .sample import of_keys
 from .scratch import remainder, ship
 
 #: Words in a window, and from the start of one to that of the next.
@@ -172,15 +172,15 @@ class Network:
         return g
 
 
-def train(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text", clean: int = 1500, toxic: int = 500, epochs: int = 4, batch: int = 25, rate: float = 0.02, decay: float = 0.05, most_words: int = 16384, seed: int = 3) -> Network | None:
-    """A network from rows of text and a label of 0 or 1; None unless both labels are there.
+def train(docs: DataFrame, marks: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", clean: int = 1500, toxic: int = 500, epochs: int = 4, batch: int = 25, rate: float = 0.02, decay: float = 0.05, most_words: int = 16384, seed: int = 3) -> Network | None:
+    """A network from docs and marks: a label of 0 or 1 for each key; None unless texts have both labels.
 
-    At most ``clean`` and ``toxic`` whole texts of the two labels are drawn. ``shift`` is set so that a logit of 0
-    best parts their labels, each text counting by its label's share of all rows.
+    At most ``clean`` and ``toxic`` whole texts of the two labels are drawn. ``shift`` is set so that a
+    logit of 0 best parts their labels, each text counting by its label's share of all rows.
     """
-    ship(rows.sparkSession)
-    rows = rows.where(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    drawn = [(c, words_of(t), t) for c, t in by_class(rows, label, key, text, {0: clean, 1: toxic})]
+    ship(docs.sparkSession)
+    texts, counts = of_keys(docs, marks.where(F.col(label).isin(0, 1)), label, key, text, {0: clean, 1: toxic})
+    drawn = [(c, words_of(t), t) for c, t in texts]
     drawn = [x for x in drawn if x[1]]
     if {c for c, _, _ in drawn} != {0, 1}:
         return None
@@ -206,7 +206,6 @@ def train(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text",
                 net.p[k] -= (now * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     y = np.array([c for c, _, _ in drawn])
     z = net.logits(net.lexicon(), [t for _, _, t in drawn])
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     w = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
     at = np.argsort(z, kind="stable")
     # Right below a cut after i texts: the clean among the first i and the toxic among the rest.
@@ -218,36 +217,35 @@ def train(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text",
     return net
 
 
-def score(rows: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """key, the columns of keep, and score (0 to 1) of every whole text; higher: more likely toxic.
+def score(rows: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
+    """row, a struct of all columns of rows, and score (0 to 1) of every whole text; higher: likelier toxic.
 
-    Null texts and texts without words get the score of the output's bias, below 0.5. If there was
-    nothing to learn, every score is 0. Repeated rows and null keys stay.
+    Null texts and texts without words get the score of the output's bias. If there was nothing to
+    learn, every score is 0. Repeated rows stay.
     """
     spark = rows.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(net)
-    columns = [key, *keep, text]
-    kind = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in columns[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         lexicon = net.lexicon() if net else None
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(1).to_pylist()
             out = sigmoid(net.logits(lexicon, texts)) if net else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(out, pa.float64())], names=[*columns[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["row", "score"])
 
-    return rows.select(*columns[:-1], F.col(text).cast("string").alias(text)).mapInArrow(run, f"{kind}score double")
+    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(text).cast("string").alias("t"))
+    return packed.mapInArrow(run, packed.select("row").schema.add("score", "double"))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Network | None:
     """From labelled documents whose crc32 remainder by 5 isn't 0; a doc_id with both labels is toxic."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(remainder("doc_id", 5) != 0)
-    return train(rows.join(marks, "doc_id"), "toxic")
+    return train(rows, marks)
 
 
 def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    out = score(docs, learned(docs, labels))
-    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = score(docs.select("doc_id", "text"), learned(docs, labels))
+    return out.select("row.doc_id", (remainder("row.doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
