@@ -19,18 +19,13 @@ LEAST_SCORE = 0.4
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, learned from labelled ones, scores under 0.5; null texts stay."""
     net = toxicity.learned(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    rest = [c for c in names if c != "text"]
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")).select(*rest, "_text", "text"), net, key=rest[0], keep=[*rest[1:], "_text"])
-    return scored.where("score < 0.5").withColumnRenamed("_text", "text").select(names)
+    return toxicity.score(docs, net).where("score < 0.5").select("row.*")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose language is told with a chance of LEAST_SCORE or more."""
-    names = docs.columns
-    rest = [c for c in names if c != "text"]
-    told = langid.predict(docs.withColumn("_text", F.col("text")).select(*rest, "_text", "text"), langid.learned(docs), key=rest[0], keep=[*rest[1:], "_text"])
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumnRenamed("_text", "text").select(names)
+    told = langid.predict(docs, langid.learned(docs))
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
