@@ -1 +1 @@
-"""plans of the document engine."""
+"""Format registry, conversion routes and tool applicability as relations."""

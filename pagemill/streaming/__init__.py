@@ -1 +1 @@
-"""streaming of the document engine."""
+"""Streams of progress messages."""
