@@ -7,6 +7,7 @@ by what a person can open.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape, quoteattr
 
@@ -25,6 +26,11 @@ TYPE = "application/vnd.openxmlformats-officedocument."
 SLIDE_W, SLIDE_H = 960, 540
 
 
+def plain(text: str) -> str:
+    """Text as XML can hold it: escaped, without control characters but tab (SK7, P13)."""
+    return escape(re.sub(r"[\x00-\x08\x0B-\x1F\uFFFE\uFFFF]", "", text))
+
+
 def archive(parts: dict[str, str | bytes]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -49,7 +55,7 @@ def word_runs(text: str, flags: int = 0, size: float | None = None, color: int |
     style += f'<w:color w:val="{color:06X}"/>' if color is not None else ""
     style += f'<w:sz w:val="{round(size * 2)}"/>' if size else ""
     style = f"<w:rPr>{style}</w:rPr>" if style else ""
-    parts = [f'<w:r>{style}<w:t xml:space="preserve">{escape(t)}</w:t></w:r>' for t in text.split("\n")]
+    parts = [f'<w:r>{style}<w:t xml:space="preserve">{plain(t)}</w:t></w:r>' for t in text.split("\n")]
     return "<w:r><w:br/></w:r>".join(parts)
 
 
@@ -75,7 +81,7 @@ def text_box(n: int, x: float, y: float, w: float, h: float, lines: list[str], s
     """A box in points; lines are soft breaks of one paragraph."""
     face = f"<a:latin typeface={quoteattr(font)}/><a:ea typeface={quoteattr(font)}/>" if font else ""
     props = f'<a:rPr lang="en-US" sz="{round(size * 100)}" b="{int(bold)}" i="{int(italic)}" spc="{round(spacing * 100)}"><a:solidFill><a:srgbClr val="{color:06X}"/></a:solidFill>{face}</a:rPr>'
-    runs = "<a:br/>".join(f"<a:r>{props}<a:t>{escape(t)}</a:t></a:r>" for t in lines)
+    runs = "<a:br/>".join(f"<a:r>{props}<a:t>{plain(t)}</a:t></a:r>" for t in lines)
     place = f'<a:xfrm><a:off x="{round(x * EMU)}" y="{round(y * EMU)}"/><a:ext cx="{round(w * EMU)}" cy="{round(h * EMU)}"/></a:xfrm>'
     return f'<p:sp><p:nvSpPr><p:cNvPr id="{n + 1}" name="Text {n}"/><p:cNvSpPr txBox="1"/><p:nvPr/></p:nvSpPr><p:spPr>{place}<a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr><p:txBody><a:bodyPr wrap="none"/><a:p><a:pPr algn="{align}"/>{runs}</a:p></p:txBody></p:sp>'
 

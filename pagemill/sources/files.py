@@ -20,7 +20,7 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def text_files(spark: SparkSession, path: str, glob: str = "*.{txt,md}") -> DataFrame:
     """path, text of whole UTF-8 files, without a byte-order mark."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    rows = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), without_bom(F.col("value")).alias("text"))
 
 
