@@ -10,9 +10,12 @@ throws again up to twice the rank. Coordinates of two documents agree with the c
 Jaccard similarity. Bands of coordinates are joined; a pair is a link if its exact similarity, computed
 from the texts, is high enough.
 
-Equal texts are one class from the start. In each band's bucket every member meets the bucket's first
-one. Members of a bucket that are still in different components then meet each other by signature,
-the members of the bucket's largest component in chunks; so no bucket makes all its pairs.
+Equal texts are one class from the start. In each band's bucket every member meets one leader, that
+with the most neighbours in its buckets. Where members of a bucket are still in different components,
+what hangs together by such buckets is a cluster, and its texts meet in chunks, all but those of its
+largest component in each: a pair of different components that shares a bucket and whose signatures
+agree is compared there, exactly, until its components are linked. Only links leave the task, so no
+bucket makes all its pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ BANDS = COORDINATES // ROWS
 DARTS = COORDINATES * (math.log(COORDINATES) + 2)
 #: Agreement of signatures below which a pair isn't compared exactly; five deviations under 0.8.
 AGREE = 0.6
-#: Buckets whose first members are broadcast; members of a chunk; links of a compared text to one copy of it.
-HOT, MEMBERS, COPIES = 50_000, 1024, 256
+#: Buckets whose leaders are broadcast; words in a chunk of texts that meet; links of a compared text to one copy of it.
+HOT, WORDS, COPIES = 50_000, 200_000, 256
+#: Digests of texts that are broadcast, counted first, to fetch the texts; more of them are joined by shuffle.
+WANTED = 100_000
 KEPT, KEPT_BYTES = 200_000, 64
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -150,7 +155,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """rid, k, same (digest of the text), sig binary (null without words), bands array<long>."""
+    """rid, k, same (digest of the text), words, sig binary (null without words), bands array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -165,15 +170,23 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sets = [shingles(words, t) for t in texts[start:stop]]
                 got = signatures(sets)
                 some = [len(s) > 0 for s, _ in sets]
+                size = [int(n.sum()) for _, n in sets]
                 keys = bands(got)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), b.column(1).slice(start, stop - start), pa.array([r.tobytes() if on else None for r, on in zip(got, some, strict=True)], pa.binary()), pa.array([r if on else None for r, on in zip(keys, some, strict=True)], pa.list_(pa.int64()))], names=["k", "same", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), b.column(1).slice(start, stop - start), pa.array(size, pa.int64()), pa.array([r.tobytes() if on else None for r, on in zip(got, some, strict=True)], pa.binary()), pa.array([r if on else None for r, on in zip(keys, some, strict=True)], pa.list_(pa.int64()))], names=["k", "same", "words", "sig", "bands"])
                 start = stop
 
     ship(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("k"), F.unhex(F.sha2(t, 256)).alias("same"), t.cast("binary").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, same binary, sig binary, bands array<long>").withColumn("rid", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, f"k {kind}, same binary, words long, sig binary, bands array<long>").withColumn("rid", F.monotonically_increasing_id())
+
+
+def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """same, t of the wanted digests, once each."""
+    wanted = written(wanted.distinct(), "wanted")
+    few = wanted.count() <= WANTED
+    return written(texts.join(F.broadcast(wanted) if few else wanted, "same", "left_semi").dropDuplicates(["same"]), "texts")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -184,8 +197,7 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """
     spark = pairs.sparkSession
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("copies"))
-    wanted = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
-    held = written(texts.join(wanted, "same", "left_semi").dropDuplicates(["same"]), "texts")
+    held = fetched(texts, pairs.select(F.col("a").alias("same")).union(pairs.select("b")))
     salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
     first = salted.select("a", "salt").distinct().join(held.withColumnRenamed("same", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "t")
     rest = salted.select("a", "salt", "b").join(held.withColumnRenamed("same", "b"), "b").select("a", "salt", "b", "t")
@@ -207,35 +219,74 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "t").mapInArrow(run, "a binary, b binary")
 
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of likely links between components, of rows (h, chunk, major, component, id, sig) sorted by h, chunk."""
-
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        comp = np.array([r[3] for r in rows])
-        ids = np.array([r[4] for r in rows])
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(len(rows), -1)
-        minor = np.flatnonzero([not r[2] for r in rows])
-        out = []
-        for i in minor.tolist():
-            on = (comp != comp[i]) & ((sig == sig[i]).mean(axis=1) >= AGREE)
-            out += [(min(int(ids[i]), int(j)), max(int(ids[i]), int(j))) for j in ids[on]]
-        return out
+def meet(least: float):
+    """A function from rows (cluster, chunk, probe, major, component, id, sig, bands, t), sorted, to links a, b.
+
+    Rows of a chunk come first, then probes, one at a time past them. A probe and a row are compared if
+    they are of different components, here so far too, share a band and agree by signature.
+    """
 
-    group, held = None, []
-    out: set[tuple[int, int]] = set()
-    for b in batches:
-        for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            if (r[0], r[1]) != group:
-                out.update(pairs(held))
-                group, held = (r[0], r[1]), []
-            held.append(r)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["x", "y"])
-            out = set()
-    out.update(pairs(held))
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["x", "y"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, group = Words(), None
+        root: dict[int, int] = {}
+        held: dict[str, list] = {}
+        tables: tuple = ()
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            out = []
+            for cluster, chunk, probe, major, component, i, sig, bands, t in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                if (cluster, chunk) != group:
+                    group, root, tables = (cluster, chunk), {}, ()
+                    held = {"id": [], "component": [], "major": [], "sig": [], "bands": [], "set": []}
+                if not probe:
+                    for k, v in (("id", i), ("component", component), ("major", major), ("sig", sig), ("bands", bands), ("set", shingles(words, t))):
+                        held[k].append(v)
+                    continue
+                if not held["id"]:
+                    continue
+                if not tables:
+                    tables = (np.array(held["id"]), np.array(held["major"]), np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(-1, COORDINATES), np.array(held["bands"], np.int64))
+                ids, majors, sigs, keys = tables
+                # Of two probes each meets the other as a row; the pair is compared once.
+                share = (majors | (ids > i)) & (keys == np.array(bands, np.int64)).any(axis=1)
+                at = np.flatnonzero(share)
+                agree = (sigs[at] == np.frombuffer(sig, np.uint32)).mean(axis=1)
+                own = None
+                for k in at[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())].tolist():
+                    x, y = find(component), find(held["component"][k])
+                    if x == y:
+                        continue
+                    own = own or shingles(words, t)
+                    if similarity(own, held["set"][k]) >= least - 1e-12:
+                        root[max(x, y)] = min(x, y)
+                        out.append((i, int(ids[k])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def apart(own: DataFrame, one: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the components of members (h, id, component) of buckets that hold several."""
+    spark = own.sparkSession
+    edges = own.join(own.groupBy("h").agg(F.min("id").alias("a")), "h").select("a", F.col("id").alias("b")).distinct()
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    rows = written(own.select("id", "component").distinct().join(clusters, "id").join(one.select("id", "same", "words"), "id"), "clusters")
+    sums = rows.groupBy("cluster", "component").agg(F.sum("words").alias("words"))
+    sums = sums.groupBy("cluster").agg(F.max(F.struct("words", "component"))["component"].alias("top"), F.ceil(F.sum("words") / WORDS).cast("int").alias("chunks"))
+    rows = rows.join(sums, "cluster").withColumn("major", F.col("component") == F.col("top"))
+    home = rows.select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("probe"), "major", "component", "id", "same")
+    probes = rows.where("not major").select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"), "major", "component", "id", "same")
+    held = fetched(texts, rows.select("same"))
+    every = home.unionByName(probes).join(one.select("id", "sig", "bands"), "id").join(held, "same")
+    names = ["cluster", "chunk", "probe", "major", "component", "id", "sig", "bands", "t"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = every.select(names).repartition(parts, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "probe", "id")
+    return written(sorted_rows.mapInArrow(meet(least), "a long, b long"), "apart")
 
 
 def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,18 +303,21 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     # A text's rows share its least rid, the text's number from here on.
     texts = docs.select(F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).alias("same"), F.col(text).cast("string").cast("binary").alias("t"))
     firsts = written(rows.groupBy("same").agg(F.min("rid").alias("id")), "firsts")
-    one = written(rows.where("sig is not null").join(firsts.withColumnRenamed("id", "rid").drop("same"), "rid", "left_semi").select(F.col("rid").alias("id"), "same", "sig", "bands"), "texts")
+    one = written(rows.where("sig is not null").join(firsts.withColumnRenamed("id", "rid").drop("same"), "rid", "left_semi").select(F.col("rid").alias("id"), "same", "words", "sig", "bands"), "firsts_signed")
     names = one.select("id", "same")
     in_bands = one.select("id", F.explode("bands").alias("h"))
-    buckets = written(in_bands.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-
-    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = written(in_bands.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     line = max(1, total // HOT)
-    hot = F.broadcast(buckets.where(F.col("n") > line).select("h", "first"))
-    most = in_bands.join(hot, "h", "left").where("first is not null").select("h", "id", "first")
-    other = in_bands.join(hot.select("h"), "h", "left_anti").join(buckets.where(F.col("n") <= line).select("h", "first"), "h").select("h", "id", "first")
-    members = written(most.unionByName(other), "members")
-    stars = written(members.where("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y")).distinct(), "stars")
+    hot = F.broadcast(counts.where(F.col("n") > line))
+    other = in_bands.join(hot, "h", "left_anti").join(counts.where(F.col("n") <= line), "h")
+    members = written(in_bands.join(hot, "h").unionByName(other), "members")
+    near = members.groupBy("id").agg(F.sum("n").alias("near"))
+    ranked = members.join(near, "id")
+    leaders = written(ranked.groupBy("h").agg(F.max(F.struct("near", (-F.col("id")).alias("o")))["o"].alias("o")).select("h", (-F.col("o")).alias("first")), "leaders")
+    big = F.broadcast(leaders.join(hot.select("h"), "h", "left_semi"))
+    led = members.where(F.col("n") > line).join(big, "h").unionByName(members.where(F.col("n") <= line).join(leaders, "h"))
+    stars = written(led.where("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y")).distinct(), "stars")
 
     def compared(pairs: DataFrame) -> DataFrame:
         named = pairs.join(names.select(F.col("id").alias("x"), F.col("same").alias("a")), "x").join(names.select(F.col("id").alias("y"), F.col("same").alias("b")), "y")
@@ -277,17 +331,8 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     split = own.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
     own = written(own.join(split, "h"), "split")
     if own.limit(1).count():
-        largest = own.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "component")).alias("m"))
-        own = own.join(largest.select("h", F.col("m.component").alias("top"), F.ceil(F.col("m.n") / MEMBERS).cast("int").alias("chunks")), "h")
-        major = F.col("component") == F.col("top")
-        spread = F.when(major, F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-        rows_in = own.select("h", F.explode(spread).alias("chunk"), major.alias("major"), "component", "id").join(one.select("id", "sig"), "id")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        met = rows_in.select("h", "chunk", "major", "component", "id", "sig").repartition(parts, "h", "chunk").sortWithinPartitions("h", "chunk").mapInArrow(meet, "x long, y long").distinct()
-        met = written(met.join(stars, ["x", "y"], "left_anti"), "met")
-        if met.limit(1).count():
-            links = links.unionByName(compared(met))
-            found = components(links)
+        links = links.unionByName(apart(own, one, texts, least))
+        found = components(links)
 
     least_key = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k"), F.col("rid")))
     ids = rows.select("rid", "k", "same").join(firsts, "same").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))

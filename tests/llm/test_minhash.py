@@ -72,7 +72,8 @@ def test_table(spark, sf):
 
 def test_chains_and_a_large_group(spark, monkeypatch):
     """Neighbours in a chain are alike, its ends are not; a shared passage makes buckets of unlike texts."""
-    monkeypatch.setattr(minhash, "MEMBERS", 8)
+    monkeypatch.setattr(minhash, "WORDS", 900)
+    monkeypatch.setattr(minhash, "WANTED", 5)
     monkeypatch.setattr(minhash, "COPIES", 4)
     monkeypatch.setattr(minhash, "HOT", 10)
     g = np.random.default_rng(3)
