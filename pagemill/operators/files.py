@@ -73,6 +73,7 @@ SUFFIXES = [
     ("ocr", "-OCR文字"),
     ("images_pdf", "-合并"),
     ("pdf_merge", "-合并"),
+    ("pdf_compress", "-压缩"),
 ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import layouts, plans, texts  # noqa: F401  (each module registers its queries)
+from . import layouts, objects, plans, texts  # noqa: F401  (each module registers its queries)
 from .plans import SQL, Q
 
 

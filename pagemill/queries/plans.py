@@ -225,7 +225,7 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT tool, stem || CASE tool WHEN 'pdf_split' THEN '-' || part WHEN 'page_image' THEN '-' || part WHEN 'ocr' THEN '-OCR文字' WHEN 'images_pdf' THEN '-合并' WHEN 'pdf_merge' THEN '-合并' ELSE '-' || label END AS name
+SELECT tool, stem || CASE tool WHEN 'pdf_split' THEN '-' || part WHEN 'page_image' THEN '-' || part WHEN 'ocr' THEN '-OCR文字' WHEN 'images_pdf' THEN '-合并' WHEN 'pdf_merge' THEN '-合并' WHEN 'pdf_compress' THEN '-压缩' ELSE '-' || label END AS name
 FROM {values([(k, label, 'a b', '第2-3页') for k, label, _, _ in tools.TOOLS] + [('page_image', '', 'x', '第1页')], 'tool, label, stem, part')}
 """)
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
