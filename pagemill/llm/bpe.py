@@ -15,6 +15,8 @@ ones too; other columns are not looked at.
 from __future__ import annotations
 
 import base64
+import functools
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -33,9 +35,10 @@ CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Pieces of more bytes get a tree of their own.
 LONG = 256
 #: Chunks kept with their ids by a worker, and the longest of them.
-KEPT, KEPT_CHARS = 200_000, 64
-#: Texts are worked on in slices of so many characters.
-SLICE = 4_000_000
+KEPT, KEPT_CHARS = 100_000, 64
+#: Rows handed back at once; texts are worked on in slices of so many characters.
+PART = 1024
+SLICE = 1_500_000
 NONE = np.int64(1) << 60
 
 
@@ -46,6 +49,7 @@ class Ranks:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern)
+        self.letters = r" ?\p{L}+|" in pattern
         self.bytes_of = {r: t for t, r in self.rank.items()}
         self.single = np.array([self.rank[bytes([i])] for i in range(256)], dtype=np.int64)
         pairs = {}
@@ -54,17 +58,51 @@ class Ranks:
                 a, b = self.rank.get(token[:i]), self.rank.get(token[i:])
                 if a is not None and b is not None:
                     pairs[(a << 32) | b] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.table(pairs)
+        self.of_bytes = self.of_pairs(self.single.repeat(256), np.tile(self.single, 256))
         self.kept: dict[str, bytes] = {}
+        self.met: set[str] = set()
+
+    def table(self, pairs: dict[int, int]) -> None:
+        """An open-addressed table of pairs, at most a quarter full; ``probes`` steps find any that is there."""
+        keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.keys, self.values = np.full(size, -1), np.full(size, NONE)
+        at, left, self.probes = self.place(keys), np.arange(len(keys)), 0
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            done = self.keys[at[left]] == keys[left]
+            self.values[at[left[done]]] = values[left[done]]
+            left = left[~done]
+            at[left] = (at[left] + 1) & (size - 1)
+            self.probes += 1
+
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """The table as a dictionary, for the first long piece."""
+        on = self.keys >= 0
+        return dict(zip(self.keys[on].tolist(), self.values[on].tolist(), strict=True))
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a << 32) | b
-        if not len(self.keys):
-            return np.full(key.shape, NONE)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        at = self.place(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.values[at], NONE)
+        more = np.nonzero((found != key) & (found >= 0))
+        for _ in range(self.probes - 1):
+            if not len(more[0]):
+                break
+            at_more = (at[more] + 1) & (len(self.keys) - 1)
+            at[more] = at_more
+            found = self.keys[at_more]
+            out[more] = np.where(found == key[more], self.values[at_more], NONE)
+            more = tuple(m[(found != key[more]) & (found >= 0)] for m in more)
+        return out
 
 
 def merge_batch(ranks: Ranks, pieces: list[bytes], size: int) -> list[bytes]:
@@ -80,7 +118,7 @@ def merge_batch(ranks: Ranks, pieces: list[bytes], size: int) -> list[bytes]:
     position = np.arange(size)
     live = position[None, :] < lengths[:, None]
     tree = np.full((n, 2 * size), NONE)
-    rank = ranks.of_pairs(ids[:, : size - 1], ids[:, 1:size])
+    rank = ranks.of_bytes[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
     paired = (position[None, 1:] < lengths[:, None]) & (rank < NONE)
     tree[:, size : 2 * size - 1] = np.where(paired, rank * size + position[:-1], NONE)
     for level in range(depth - 1, -1, -1):
@@ -183,30 +221,39 @@ def merge_pieces(ranks: Ranks, pieces: Iterable[bytes]) -> dict[bytes, bytes]:
 
 
 def encode_texts(ranks: Ranks, texts: list[str | None]) -> list[bytes]:
-    """The ids of whole texts; chunks seen before come from the worker's memory."""
+    """The ids of whole texts. A worker remembers the ids of chunks that it met in two slices of its texts."""
     out: list[bytes] = []
     start = 0
+    known = ranks.kept
     while start < len(texts):
         stop, chars = start, 0
         while stop < len(texts) and (stop == start or chars < SLICE):
             chars += len(texts[stop] or "")
             stop += 1
         cut = [CHUNK.findall(t) if t else [] for t in texts[start:stop]]
-        fresh = set().union(*cut).difference(ranks.kept)
-        found = {c: [m.encode() for m in ranks.pattern.findall(c)] for c in fresh}
-        merged = merge_pieces(ranks, (p for ps in found.values() for p in ps))
-        now = {c: b"".join([merged[p] for p in ps]) for c, ps in found.items()}
-        if len(ranks.kept) + len(now) > KEPT:
-            ranks.kept = {c: ranks.kept[c] for c in set().union(*cut) & ranks.kept.keys()}
-        known = ranks.kept
-        known.update(now)
-        out += [b"".join([known[c] for c in cs]) for cs in cut]
-        for c in [c for c in now if len(c) > KEPT_CHARS]:
+        fresh = list(set().union(*cut).difference(known))
+        find = ranks.pattern.findall
+        # Letters alone, or after a space, are one match of the pattern.
+        pieces = [[c.encode()] if ranks.letters and c.lstrip(" ").isalpha() and c[1:].isalpha() else [m.encode() for m in find(c)] for c in fresh]
+        get = merge_pieces(ranks, (p for ps in pieces for p in ps)).__getitem__
+        known.update(zip(fresh, (b"".join(map(get, ps)) for ps in pieces), strict=True))
+        get = known.__getitem__
+        out += [b"".join(map(get, cs)) for cs in cut]
+        room = KEPT - len(known) + len(fresh)
+        once = [c for c in fresh if len(c) > KEPT_CHARS or c not in ranks.met]
+        for c in once if room > len(fresh) - len(once) else fresh:
             del known[c]
+        if len(ranks.met) > KEPT:
+            ranks.met.clear()
+        ranks.met.update(c for c in once if len(c) <= KEPT_CHARS)
         start = stop
     return out
 
 
+def decode_ids(ranks: Ranks, ids: bytes) -> bytes:
+    return b"".join(map(ranks.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 _LOADED: dict[tuple[str, str], Ranks] = {}
 
 
@@ -241,16 +288,38 @@ def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = loaded(path, pattern).bytes_of.__getitem__
+        ranks = loaded(path, pattern)
         for b in batches:
-            out = [b"".join(map(of, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(2).to_pylist()]
+            out = [decode_ids(ranks, x or b"") for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids", "decoded"])
 
     schema = f"`{key}` {kind.simpleString()}, n_tokens long, ids binary, decoded binary"
     return df.select(F.col(key), F.col("n_tokens"), F.col(ids).alias("ids")).mapInArrow(run, schema)
 
 
+def round_trips(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 (and ids): what encode gives and decode gives back, as digests.
+
+    Both run in one worker, so that ids and bytes don't cross to the JVM and back. Rows as encode's.
+    """
+    ship(docs.sparkSession)
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = loaded(path, pattern)
+        for b in batches:
+            for start in range(0, b.num_rows, PART):
+                part = b.slice(start, PART)
+                found = encode_texts(ranks, part.column(1).to_pylist())
+                back = [hashlib.sha256(decode_ids(ranks, x)).hexdigest() for x in found]
+                columns = [part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())] if with_ids else columns, names=names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, encoded and then decoded."""
-    both = decode(encode(docs, path, pattern), path, pattern)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trips(docs, path, pattern)
