@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sample import by_class
 from .scratch import remainder, ship
@@ -230,13 +231,14 @@ def predict(rows: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """
     spark = rows.sparkSession
     ship(spark)
+    at = rows.columns.index(text)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         lexicon = model.lexicon() if model else None
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(0).field(at).cast(pa.string()).to_pylist()
             known = np.array([bool(model and t and LETTER.search(t)) for t in texts], bool)
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if known.any():
@@ -246,8 +248,8 @@ def predict(rows: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 score = np.where(known, p[np.arange(len(texts)), best], 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(text).cast("string").alias("t"))
-    return packed.mapInArrow(run, packed.select("row").schema.add("lang_pred", "string").add("score", "double"))
+    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
+    return packed.mapInArrow(run, T.StructType([*packed.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
 def learned(docs: DataFrame) -> Model | None:

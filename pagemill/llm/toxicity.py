@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .langid import BITS, Lexicon, features, slices, words_of
 from .sample import of_keys
@@ -225,18 +226,19 @@ def score(rows: DataFrame, net: Network | None, text: str = "text") -> DataFrame
     """
     spark = rows.sparkSession
     ship(spark)
+    at = rows.columns.index(text)
     held = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         lexicon = net.lexicon() if net else None
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(0).field(at).cast(pa.string()).to_pylist()
             out = sigmoid(net.logits(lexicon, texts)) if net else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["row", "score"])
 
-    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(text).cast("string").alias("t"))
-    return packed.mapInArrow(run, packed.select("row").schema.add("score", "double"))
+    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
+    return packed.mapInArrow(run, T.StructType([*packed.schema.fields]).add("score", "double"))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Network | None:
