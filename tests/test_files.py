@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import files, pages, raster
+from pagemill.operators import files, pages, panels, raster
 from pagemill.plans import formats, tools
 from pagemill.sinks import files as sink
 from pagemill.sinks import office as writer
@@ -228,3 +228,20 @@ def test_what_is_missing_is_said(spark):
         if provider is None:
             with pytest.raises(RuntimeError):
                 external.need(name)
+
+
+def test_events_are_taken_once(spark):
+    kind = "page int, n int, number int, x0 double, y0 double, x1 double, y1 double"
+    blocks = spark.createDataFrame([(1, 0, 50, 0.0, 0.0, 10.0, 10.0), (1, 1, 51, 1.0, 0.0, 10.0, 10.0), (1, 2, 52, 0.0, 0.0, 9.0, 9.0), (2, 0, 53, 0.0, 0.0, 1.0, 1.0)], kind)
+    events = spark.createDataFrame([(1, 7, 0.0, 0.0, 10.0, 10.0), (1, 9, 100.0, 0.0, 110.0, 10.0)], "page int, seq int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.page, r.n): r.seq for r in panels.drawn_by(blocks, events, ["page"]).collect()}
+    assert got == {(1, 0): 7, (1, 1): 9, (1, 2): 52, (2, 0): 53}
+
+
+def test_a_division_runs_through():
+    palette = np.array([[255, 255, 255], [0, 0, 0]], np.uint8)
+    above = np.array([[255, 255, 255]] * 6 + [[120, 130, 120]] + [[2, 2, 2]] * 5)
+    rows = np.full((3, 3), 255, np.uint8)
+    left, right = np.array([[255, 255, 255]] * 3), np.array([[0, 0, 0], [255, 255, 255], [90, 90, 90]])
+    fill = panels.divided(rows, above, left, right, palette)
+    assert (fill[0, :6] == 255).all() and (fill[0, 7:] == 0).all() and (fill[1:] == 255).all()
