@@ -21,11 +21,13 @@ def published_names(new: DataFrame, existing: DataFrame) -> DataFrame:
     asked = new.withColumn("place", F.row_number().over(order))
     groups = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     there = existing.select("folder", F.col("name").alias("taken")).distinct()
-    # A name may belong to two stems, so each stem is met with the names that begin like it and end like it.
-    fits = F.col("taken").startswith(F.col("stem")) & F.col("taken").endswith(F.concat(F.lit("."), F.col("ext")))
-    middle = F.col("taken").substr(F.length("stem") + 1, F.length("taken") - F.length("stem") - F.length("ext") - 1)
-    number = F.when(middle == "", 0).when(middle.rlike("^-[1-9][0-9]{0,8}$"), F.substring(middle, 2, 9).cast("int"))
-    used = groups.join(there, "folder").where(fits).withColumn("k", number).where("k is not null").select(*keys, "k").distinct()
+    # An existing name stands for one stem and ext at each of its dots, and for one more where a number ends the stem.
+    dots = F.filter(F.sequence(F.lit(1), F.length("taken")), lambda i: F.substring("taken", i, F.lit(1)) == ".")
+    cut = there.withColumn("i", F.explode(dots)).select("folder", F.substring("taken", F.lit(1), F.col("i") - 1).alias("body"), F.substring("taken", F.col("i") + 1, F.length("taken")).alias("ext"))
+    number = F.regexp_extract("body", "-([1-9][0-9]{0,8})$", 1)
+    whole = cut.select("folder", F.col("body").alias("stem"), "ext", F.lit(0).alias("k"))
+    parted = cut.where(number != "").select("folder", F.regexp_replace("body", "-[0-9]+$", "").alias("stem"), "ext", number.cast("int").alias("k"))
+    used = whole.unionByName(parted).join(groups.select(*keys), keys, "left_semi").distinct()
     held = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
     all_k = groups.join(held, keys, "left").select(*keys, F.explode(F.sequence(F.lit(0), (F.col("n") + F.coalesce("m", F.lit(0))).cast("int"))).alias("k"))
     free = all_k.join(used, [*keys, "k"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("k")))
