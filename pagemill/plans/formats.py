@@ -84,10 +84,15 @@ def route(ext: Column, target: Column, renderer: Column, word: Column) -> Column
     )
 
 
+def beside_targets(rows: DataFrame) -> DataFrame:
+    """rows with ord and target, once for every target."""
+    names = [c for c in rows.columns if c not in ("ord", "target")]
+    return rows.select(*names, F.posexplode(F.array(*(F.lit(t) for t in dict.fromkeys(CANDIDATES)))).alias("ord", "target"))
+
+
 def routes(sources: DataFrame, renderer: Column | bool, word: Column | bool) -> DataFrame:
     """The rows of sources (with ext) beside every target that can be reached: target, ord, route."""
-    spark = sources.sparkSession
-    both = sources.crossJoin(F.broadcast(candidates(spark)))
+    both = beside_targets(sources)
     renderer, word = (F.lit(x) if isinstance(x, bool) else x for x in (renderer, word))
     return both.withColumn("route", route(F.col("ext"), F.col("target"), renderer, word)).where("route is not null")
 

@@ -60,7 +60,7 @@ SELECT ext, target, renderer, {route_sql('e', 'target', 'renderer')} AS route FR
 def route_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source beside every target, with and without a renderer."""
     src = spark.createDataFrame([(e, r) for e in EXTS for r in (True, False)], "ext string, renderer boolean")
-    both = src.crossJoin(F.broadcast(formats.candidates(spark)))
+    both = formats.beside_targets(src)
     return both.select("ext", "target", "renderer", formats.route(F.col("ext"), F.col("target"), F.col("renderer"), F.col("renderer")).alias("route"))
 
 
