@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import ship
+from .scratch import ship, trimmed
 
 #: White space as the pattern's \s sees it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -250,6 +250,15 @@ def encode_texts(ranks: Ranks, texts: list[str | None]) -> list[bytes]:
     return out
 
 
+def forgetting(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """batches; when they end, a worker keeps the ranks for its next task and gives up the chunks it remembered."""
+    try:
+        yield from batches
+    finally:
+        ranks = loaded(path, pattern)
+        ranks.kept, ranks.met = {}, set()
+
+
 def decode_ids(ranks: Ranks, ids: bytes) -> bytes:
     return b"".join(map(ranks.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -279,7 +288,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"])
 
     schema = f"`{key}` {kind.simpleString()}, n_tokens long, ids binary"
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(lambda b: trimmed(forgetting(run(b), path, pattern)), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -294,7 +303,7 @@ def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids", "decoded"])
 
     schema = f"`{key}` {kind.simpleString()}, n_tokens long, ids binary, decoded binary"
-    return df.select(F.col(key), F.col("n_tokens"), F.col(ids).alias("ids")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col("n_tokens"), F.col(ids).alias("ids")).mapInArrow(lambda b: trimmed(forgetting(run(b), path, pattern)), schema)
 
 
 def round_trips(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -317,7 +326,7 @@ def round_trips(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", t
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(lambda b: trimmed(forgetting(run(b), path, pattern)), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

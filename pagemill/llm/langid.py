@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sample import by_class
-from .scratch import remainder, ship
+from .scratch import remainder, ship, trimmed
 
 BITS = 15
 N_GRAMS = (1, 2, 3, 4)
 #: Multiplies the values, so that the steps of training are of a usual size.
 SCALE = 50.0
 #: Words that a worker keeps, and the longest of them.
-KEPT, KEPT_BYTES = 150_000, 48
+KEPT, KEPT_BYTES = 80_000, 48
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -105,7 +105,7 @@ def document_frequency(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
             texts = b.column(0).to_pylist()
             for s in slices(texts):
                 docs = [set(words_of(t)) for t in texts[s]]
-                if len(known) > KEPT // 3:
+                if len(known) > KEPT // 2:
                     known = {}
                 fresh = list(set().union(*docs).difference(known))
                 if fresh:
@@ -122,7 +122,7 @@ def document_frequency(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["f", "n"])
 
-    found = rows.select(text).mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    found = rows.select(text).mapInArrow(lambda b: trimmed(run(b)), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << BITS, np.int64)
     total = 0
     for r in found:
@@ -249,7 +249,7 @@ def predict(rows: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
     packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
-    return packed.mapInArrow(run, T.StructType([*packed.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    return packed.mapInArrow(lambda b: trimmed(run(b)), T.StructType([*packed.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
 def learned(docs: DataFrame) -> Model | None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import remainder, ship, written
+from .scratch import remainder, ship, trimmed, written
 
 #: Words whose counts every worker holds, and the bytes of the longest of them.
 HOT, HOT_BYTES = 100_000, 64
@@ -57,7 +57,7 @@ def counts(rows: DataFrame, text: str = "text") -> DataFrame:
         yield out()
 
     ship(rows.sparkSession)
-    each = rows.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "word binary, c long")
+    each = rows.select(F.col(text).cast("binary").alias("t")).mapInArrow(lambda b: trimmed(run(b)), "word binary, c long")
     return each.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -254,6 +254,20 @@ def train(rows: DataFrame, found: DataFrame, key: str, text: str, sample: int =
     return model
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = 24_000_000) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Keys and texts of batches together, up to so many rows or bytes: the more texts, the fuller each step."""
+    ids, texts, held = [], [], 0
+    for b in batches:
+        ids.append(b.column(0))
+        texts += b.column(1).to_pylist()
+        held += b.column(1).nbytes
+        if len(texts) >= rows or held >= size:
+            yield pa.concat_arrays(ids), texts
+            ids, texts, held = [], [], 0
+    if texts:
+        yield pa.concat_arrays(ids), texts
+
+
 def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score (log10) of every whole text.
 
@@ -275,11 +289,9 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text") -> Da
         hot, own = model.hot, model.own
         end_c = np.array([model.ends])
         log10 = 1 / math.log(10)
-        for b in batches:
-            ids = b.column(0)
-            texts = b.column(1).to_pylist()
-            for start in range(0, len(texts), 4096):
-                docs = [tokens(t) for t in texts[start : start + 4096]]
+        for ids, texts in gathered(batches):
+            for start in range(0, len(texts), 8192):
+                docs = [tokens(t) for t in texts[start : start + 8192]]
                 net = model.score([model.numbers(ws) for ws in docs]) * log10
                 out: dict[str, list] = {x: [] for x in ("n", "known", "base", "score", "words", "times")}
                 for ws, s in zip(docs, net.tolist(), strict=True):
@@ -297,7 +309,7 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text") -> Da
                     out["times"].append(list(rare.values()))
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(docs)), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"]), pa.array(out["score"]), pa.array(out["words"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int32()))], names=["k", "n", "known", "base", "score", "words", "times"])
 
-    each = rows.select("k", F.col("t").cast("binary")).mapInArrow(run, f"k {kind}, n long, known long, base double, score double, words array<binary>, times array<int>")
+    each = rows.select("k", F.col("t").cast("binary")).mapInArrow(lambda b: trimmed(run(b)), f"k {kind}, n long, known long, base double, score double, words array<binary>, times array<int>")
     each = written(each.withColumn("rid", F.monotonically_increasing_id()), "scored")
     rare = each.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     # A word that no row was learned with may be in many rows, so the join is by word and row.

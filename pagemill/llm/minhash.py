@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import ship, written
+from .scratch import ship, trimmed, written
 
 SHINGLE = 5
 COORDINATES, ROWS = 100, 4
@@ -179,7 +179,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("k"), F.unhex(F.sha2(t, 256)).alias("same"), t.cast("binary").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, same binary, words long, sig binary, bands array<long>").withColumn("rid", F.monotonically_increasing_id())
+    return rows.mapInArrow(lambda b: trimmed(run(b)), f"k {kind}, same binary, words long, sig binary, bands array<long>").withColumn("rid", F.monotonically_increasing_id())
 
 
 def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -6,23 +6,34 @@ Executors can be lost at any time, so what is used twice is written as Parquet u
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to a Python worker at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Words are runs of bytes other than ASCII white space, as ``bytes.split()`` cuts them.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new temporary one only where the setting is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one of this application's only where the setting is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="pagemill-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="pagemill-")
+        where = _OWN[app]
     return where.rstrip("/")
 
 
@@ -58,3 +69,15 @@ def ship(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    if spark.conf.get(BATCH) == "10000":  # as it is where nobody chose: too many long texts for small executors
+        spark.conf.set(BATCH, "1024")
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """batches; when they end, what the worker has freed goes back to the system."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)

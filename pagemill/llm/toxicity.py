@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .langid import BITS, Lexicon, features, slices, words_of
 from .sample import of_keys
-from .scratch import remainder, ship
+from .scratch import remainder, ship, trimmed
 
 #: Words in a window, and from the start of one to that of the next.
 WINDOW, STRIDE = 32, 24
@@ -34,6 +34,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their number at, n of them."""
+    return np.stack([np.bincount(at, c, n) for c in rows.T], axis=1).astype(rows.dtype)
+
+
 def cut(numbers: np.ndarray) -> np.ndarray:
     """Overlapping windows over all of a text's words, -1 beyond its end; none for no words."""
     n = len(numbers)
@@ -164,16 +169,14 @@ class Network:
         dproj[present] = np.add.reduceat(dx.reshape(-1, 6 * H)[order], first, axis=0)
         g["b"], g["w"] = dproj.sum(axis=0), xs.T @ dproj
         dxs = dproj @ p["w"].T
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], at, dxs[:, :WORD_DIM])
+        g["word"] = summed(at, dxs[:, :WORD_DIM], len(p["word"]))
         g["word"][0] = 0
         n = np.diff(start)
-        g["char"] = np.zeros_like(p["char"])
-        np.add.at(g["char"], f, np.repeat(dxs[:, WORD_DIM:] / np.maximum(n, 1)[:, None], n, axis=0))
+        g["char"] = summed(f, np.repeat(dxs[:, WORD_DIM:] / np.maximum(n, 1)[:, None], n, axis=0), CHAR_ROWS)
         return g
 
 
-def train(docs: DataFrame, marks: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", clean: int = 1500, toxic: int = 500, epochs: int = 4, batch: int = 25, rate: float = 0.02, decay: float = 0.05, most_words: int = 16384, seed: int = 3) -> Network | None:
+def train(docs: DataFrame, marks: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", clean: int = 2500, toxic: int = 700, epochs: int = 4, batch: int = 25, rate: float = 0.02, decay: float = 0.05, most_words: int = 16384, seed: int = 3) -> Network | None:
     """A network from docs and marks: a label of 0 or 1 for each key; None unless texts have both labels.
 
     At most ``clean`` and ``toxic`` whole texts of the two labels are drawn. ``shift`` is set so that a
@@ -238,7 +241,7 @@ def score(rows: DataFrame, net: Network | None, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["row", "score"])
 
     packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
-    return packed.mapInArrow(run, T.StructType([*packed.schema.fields]).add("score", "double"))
+    return packed.mapInArrow(lambda b: trimmed(run(b)), T.StructType([*packed.schema.fields]).add("score", "double"))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Network | None:
