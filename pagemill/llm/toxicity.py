@@ -184,7 +184,8 @@ def train(docs: DataFrame, marks: DataFrame, label: str = "toxic", key: str = "d
     """
     ship(docs.sparkSession)
     texts, counts = of_keys(docs, marks.where(F.col(label).isin(0, 1)), label, key, text, {0: clean, 1: toxic})
-    drawn = [(c, words_of(t), t) for c, t in texts]
+    same: dict[bytes, bytes] = {}
+    drawn = [(c, [same.setdefault(w, w) for w in words_of(t)], t) for c, t in texts]
     drawn = [x for x in drawn if x[1]]
     if {c for c, _, _ in drawn} != {0, 1}:
         return None
