@@ -2,9 +2,11 @@
 
 Words are dealt in blocks of equally many. The blocks of the whole mix are apportioned to sources by
 the highest quotients target / (2 * seats + 1); each source's blocks are apportioned in the same way
-to the shards by the words that it has in each. So every shard gets integer quotas. In a shard the
-rows of a source, in seeded order, are one stream of words that is cut into blocks. A quota is met by
-as many whole passes over the stream as it holds, then by blocks in seeded order, the last one cut.
+to the shards by the words that it has in each, none over what two passes hold. Where a source lies too
+thinly for whole blocks, its words are dealt in proportion, so that all of its quota is placed. Every
+shard gets integer quotas. In a shard the rows of a source, in seeded order, are one stream of words
+that is cut into blocks. A quota is met by as many whole passes over the stream as it holds, then by
+blocks in seeded order, the last one cut.
 """
 
 from __future__ import annotations
@@ -71,6 +73,23 @@ def targets(sizes: Sequence[int], weights: Sequence[float], times: float = 1.5,
     return out
 
 
+def shard_words(sizes: Sequence[int], seats: int, block: int) -> np.ndarray:
+    """Words that each shard takes of a source with ``sizes`` words there: ``seats`` blocks in all, or two passes if less.
+
+    Whole blocks by highest quotients, none over twice a shard's words. If those can't hold all seats,
+    words in proportion instead, rounded down in running sums, so the total is exact and no shard gets
+    over twice its own.
+    """
+    own = np.asarray(sizes, np.int64)
+    got = sainte_lague(own, seats, 2 * own // block)
+    if got.sum() >= seats:
+        return got * block
+    whole = int(own.sum())
+    total = min(seats * block, 2 * whole)
+    upto = [total * int(x) // whole for x in np.cumsum(own)] if whole else [0] * len(own)
+    return np.diff(np.array([0, *upto], np.int64))
+
+
 def seeded(n: int, *seed: int) -> np.ndarray:
     """A fixed scrambled order of 0 to n - 1."""
     x = np.arange(n, dtype=np.uint64)
@@ -145,20 +164,19 @@ def mix(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "text",
 
     def deal(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("shard")
-        words = part["words"].to_numpy(float)
-        got = sainte_lague(words, int(part["quota"].iloc[0]), np.ceil(2 * words / block))
-        return pd.DataFrame({"shard": part["shard"].to_numpy(), "sid": part["sid"].to_numpy(), "blocks": got})
+        got = shard_words(part["words"].to_numpy(np.int64), int(part["quota"].iloc[0]), block)
+        return pd.DataFrame({"shard": part["shard"].to_numpy(), "sid": part["sid"].to_numpy(), "words": got})
 
     held = rows.groupBy("shard", "sid").agg(F.sum("size").alias("words"))
-    quotas = held.join(F.broadcast(catalogue.select("sid", "quota")), "sid").groupBy("sid").applyInPandas(deal, "shard int, sid int, blocks long")
+    quotas = held.join(F.broadcast(catalogue.select("sid", "quota")), "sid").groupBy("sid").applyInPandas(deal, "shard int, sid int, words long")
 
     def choose(own: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
-        blocks = dict(zip(quotas["sid"], quotas["blocks"], strict=True))
+        words = dict(zip(quotas["sid"], quotas["words"], strict=True))
         out = []
         for sid, part in own.sort_values(["sid", "at", "text_hash", "size"], kind="stable").groupby("sid", sort=True):
             size = part["size"].to_numpy(np.int64)
             shard = int(part["shard"].iloc[0])
-            passes, chosen, some = take(size, int(blocks.get(sid, 0)) * block, block, seed, shard, int(sid))
+            passes, chosen, some = take(size, int(words.get(sid, 0)), block, seed, shard, int(sid))
             ends = np.cumsum(size)
             cut = [[{"lo": 0, "hi": int(n)}] if n and s == n else [] if not s else ranges(int(e - n), int(e), chosen, block) for s, n, e in zip(some, size, ends, strict=True)]
             out.append(pd.DataFrame({"k": part["k"], "text_hash": part["text_hash"], "sid": part["sid"], "size": size, "passes": passes, "taken": passes * size + some, "ranges": cut}))

@@ -99,3 +99,26 @@ def test_shards_share_a_source(spark):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
+
+
+def test_thin_sources_get_their_target():
+    g = np.random.default_rng(2)
+    for docs, words, times in ((500, 100, 2.0), (500, 100, 1.0), (5000, 100, 1.0), (500, 400, 1.5), (5000, 400, 0.2)):
+        sizes = np.bincount(g.integers(0, 5860, docs), minlength=5860) * words
+        target = times * sizes.sum()
+        block = max(8, min(1024, int(target // 100)))
+        seats = round(target / block)
+        got = mixing.shard_words(sizes, seats, block)
+        assert got.sum() == min(seats * block, 2 * sizes.sum()) and (got >= 0).all() and (got <= 2 * sizes).all()
+        assert all(mixing.take(np.array([n]), int(w), block, 1)[2][0] + mixing.take(np.array([n]), int(w), block, 1)[0] * n == w for n, w in zip(sizes, got, strict=True) if n)
+
+
+def test_few_rows_of_a_source_over_many_shards(spark):
+    docs = spark.createDataFrame([(i, "w " * (30 + i % 40), "b" if i % 50 == 0 else "a") for i in range(6000)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, shard_rows=2).collect()
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(rows) == 6000 and all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
