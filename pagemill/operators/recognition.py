@@ -82,28 +82,32 @@ def style_peers(rows: DataFrame, page: str = "page") -> DataFrame:
     """page, n, family, fit: the best-fitting style among lines of equal text and a height ratio in (.85, 1.18).
 
     A line alone keeps its own style. Ties go to the first line. Styles are those given, not such as
-    other lines have already taken over.
+    other lines have already taken over. Only the heights of a page's text meet, not its lines.
     """
-    other = rows.select(F.col(page).alias("p"), F.col("text").alias("t"), F.col("height").alias("h"), F.col("n").alias("m"), F.col("family").alias("f"), F.col("fit").alias("g"))
+    best = F.max(F.struct(F.col("fit").alias("g"), (-F.col("n")).alias("first"), F.col("family").alias("f")))
+    own = rows.groupBy(page, "text", "height").agg(best.alias("b"))
+    other = own.select(F.col(page).alias("p"), F.col("text").alias("t"), F.col("height").alias("h"), F.col("b").alias("o"))
     near = (F.col("h") / F.col("height") > 0.85) & (F.col("h") / F.col("height") < 1.18)
-    both = rows.join(other, (F.col(page) == F.col("p")) & (F.col("text") == F.col("t")) & near)
-    best = F.max(F.struct("g", (-F.col("m")).alias("first"), "f"))
-    return both.groupBy(page, "n").agg(best.alias("b")).select(page, "n", F.col("b.f").alias("family"), F.col("b.g").alias("fit"))
+    both = own.join(other, (F.col(page) == F.col("p")) & (F.col("text") == F.col("t")) & near).groupBy(page, "text", "height").agg(F.max("o").alias("b"))
+    return rows.select(page, "n", "text", "height").join(both, [page, "text", "height"]).select(page, "n", F.col("b.f").alias("family"), F.col("b.g").alias("fit"))
 
 
 def number_peers(rows: DataFrame, page: str = "page") -> DataFrame:
     """page, n, family, fit for two-digit labels with two or more peers: the family most of them have, its best fit.
 
-    Peers' heights have a ratio in (.72, 1.4). Equal families by the alphabet, equal fits by number.
+    Peers' heights have a ratio in (.72, 1.4). Equal families by the alphabet, equal fits by number. Only
+    a page's heights meet, not its lines.
     """
     label = rows.where(two_digits(F.col("text"))).select(page, "n", "height", "family", "fit")
-    other = label.select(F.col(page).alias("p"), F.col("height").alias("h"), F.col("n").alias("m"), F.col("family").alias("f"), F.col("fit").alias("g"))
+    own = label.groupBy(page, "height", F.col("family").alias("f")).agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct(F.col("fit").alias("g"), (-F.col("n")).alias("first"))).alias("best"))
+    other = own.withColumnsRenamed({page: "p", "height": "h"})
     near = (F.col("h") / F.col("height") > 0.72) & (F.col("h") / F.col("height") < 1.4)
-    both = label.join(other, (F.col(page) == F.col("p")) & near)
-    each = both.groupBy(page, "n", "f").agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct("g", (-F.col("m")).alias("first"))).alias("best"))
-    w = Window.partitionBy(page, "n")
+    both = own.select(page, "height").distinct().join(other, (F.col(page) == F.col("p")) & near)
+    each = both.groupBy(page, "height", "f").agg(F.sum("votes").alias("votes"), F.max("best").alias("best"))
+    w = Window.partitionBy(page, "height")
     ranked = each.withColumn("peers", F.sum("votes").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("votes"), "f")))
-    return ranked.where("peers >= 3 and rank = 1").select(page, "n", F.col("f").alias("family"), F.col("best.g").alias("fit"))
+    chosen = ranked.where("peers >= 3 and rank = 1").select(page, "height", "f", "best")
+    return label.select(page, "n", "height").join(chosen, [page, "height"]).select(page, "n", F.col("f").alias("family"), F.col("best.g").alias("fit"))
 
 
 def paragraph_style(rows: DataFrame, keys: list[str]) -> DataFrame:

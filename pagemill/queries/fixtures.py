@@ -45,13 +45,20 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = "lines AS (SELECT doc_id AS doc, unnest(range(len(string_split(text, chr(10)))))::INT AS n, unnest(string_split(text, chr(10))) AS text FROM documents)"
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, n, x0 to y1, height, text, confidence, family, fit, flags, size: two columns of lines, each fifth one nearly on the one before."""
+def pieces(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
+    """doc, n, text: documents' lines, long ones wrapped into pieces of ``width`` characters, numbered through."""
+    cut = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(t) - 1) / width).cast("int"))), lambda i: F.substr(t, i * width + 1, F.lit(width)))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.flatten(F.transform(F.split("text", "\n"), cut))).alias("n", "text"))
+
+
+def boxes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """page, n, x0 to y1, height, text, confidence, family, fit, flags, size: two columns of lines, each fifth one nearly on the one before; whole: of wrapped lines, so that no text is cut."""
     near = F.when(F.col("n") % 5 == 4, F.col("n") - 1).otherwise(F.col("n"))
     m = near.cast("double")
     x0 = 40 + 460 * (near % 2) + F.when(F.col("n") % 5 == 4, 3).otherwise(0)
     y0 = 20 + F.floor(m / 2) * 19
-    rows = lines(spark, sf_dir).withColumn("text", F.substring("text", 1, 60)).where("length(trim(text)) > 0")
+    rows = (pieces if whole else lines)(spark, sf_dir).withColumn("text", F.substring("text", 1, 60)).where("length(trim(text)) > 0")
     wide, high = 30 + 6 * F.length("text"), 12 + F.col("n") % 4
     code = (F.col("doc") * 31 + F.col("n") * 17) % 50
     rows = rows.select("doc", "n", "text", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), wide.alias("w"), high.alias("h"), code.alias("code"))

@@ -108,6 +108,19 @@ def number_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.number_peers(b)
 
 
+@query()
+def style_peers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style of lines of one text, over all lines and whole texts."""
+    return recognition.style_peers(boxes(spark, sf_dir, whole=True))
+
+
+@query()
+def number_peers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style of labels of two digits, over all lines."""
+    b = boxes(spark, sf_dir, whole=True).withColumn("text", F.when(F.col("n") % 2 == 0, (10 + F.col("n") % 80).cast("string")).otherwise("word"))
+    return recognition.number_peers(b)
+
+
 @query(f"""
 WITH {BOXES}, b AS (SELECT page, n // 6 AS paragraph, n, text, family, CASE WHEN n % 7 = 0 THEN NULL ELSE fit END AS fit, flags + CASE WHEN (n // 6) % 3 = 0 THEN 2 ELSE 0 END AS flags, size FROM boxes),
 v AS (SELECT page, paragraph, family, sum(length(text) * coalesce(fit, 0.65{D})) AS votes, min(n) AS first FROM b GROUP BY ALL),
