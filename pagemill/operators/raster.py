@@ -104,12 +104,18 @@ def without_nested(boxes: DataFrame, page: str = "page") -> DataFrame:
     """Boxes (n, x0 to y1) but those over .94 in one 1.3 times larger, or over .15 in one 5 times larger (J9, A.16)."""
     from ..functions.geometry import area, coverage
 
-    names = ("x0", "y0", "x1", "y1")
-    other = boxes.select(F.col(page).alias("_p"), *(F.col(c).alias(f"_{c}") for c in names))
+    # Only boxes that overlap count, so boxes meet in bands of a page as high as its boxes are on average.
+    names = ["x0", "y0", "x1", "y1"]
+    each = boxes.select(page, *names).distinct()
+    high = each.groupBy(page).agg(F.greatest(F.lit(1.0), F.avg(F.col("y1") - F.col("y0"))).alias("_high"))
+    band = lambda c: F.floor(F.col(c) / F.col("_high"))
+    banded = each.where("y1 >= y0").join(high, page).withColumn("_band", F.explode(F.sequence(band("y0"), band("y1")))).drop("_high")
+    other = banded.select(F.col(page).alias("_p"), F.col("_band").alias("_b"), *(F.col(c).alias(f"_{c}") for c in names))
     own, out = [F.col(c) for c in names], [F.col(f"_{c}") for c in names]
     part, times = coverage(own, out), area(out) / F.greatest(F.lit(1.0), area(own))
     inside = ((part > 0.94) & (times > 1.3)) | ((part > 0.15) & (times > 5))
-    return boxes.join(other, (F.col(page) == F.col("_p")) & inside, "left_anti")
+    gone = banded.join(other, (F.col(page) == F.col("_p")) & (F.col("_band") == F.col("_b")) & inside, "left_semi")
+    return boxes.join(gone.select(page, *names).distinct(), [page, *names], "left_anti")
 
 
 def whole_page_photo(lines: DataFrame, palettes: DataFrame, page: str = "page") -> DataFrame:
@@ -250,22 +256,39 @@ def labelled(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def merged_boxes(boxes: list[tuple[float, ...]], width: float, height: float) -> list[tuple[float, ...]]:
     """Boxes joined while a pair is near and its union small, the first such pair each time (R12, A.17).
 
-    The first pair is found among all at once; after a join only the joined box's gaps change.
+    A pair's edges differ by less than the union's limit, so a box is compared with those whose corner
+    is in the cells of that size around its own. Boxes before ``front`` have no pair left.
     """
     b = np.array(boxes, float).reshape(-1, 4)
     gap = max(5, min(width, height) / 52)
-    while len(b) > 1:
-        x = np.maximum(b[:, None, 0], b[None, :, 0]) - np.minimum(b[:, None, 2], b[None, :, 2])
-        y = np.maximum(b[:, None, 1], b[None, :, 1]) - np.minimum(b[:, None, 3], b[None, :, 3])
-        wide = np.maximum(b[:, None, 2], b[None, :, 2]) - np.minimum(b[:, None, 0], b[None, :, 0])
-        high = np.maximum(b[:, None, 3], b[None, :, 3]) - np.minimum(b[:, None, 1], b[None, :, 1])
-        ok = np.triu((x <= gap) & (y <= gap) & (wide < 0.28 * width) & (high < 0.32 * height), 1)
-        if not ok.any():
-            break
-        i, j = divmod(int(ok.argmax()), len(b))
-        b[i] = (min(b[i, 0], b[j, 0]), min(b[i, 1], b[j, 1]), max(b[i, 2], b[j, 2]), max(b[i, 3], b[j, 3]))
-        b = np.delete(b, j, axis=0)
-    return [tuple(r) for r in b.tolist()]
+    most = np.array([0.28 * width, 0.32 * height])
+    cellular = most.min() > 0 and np.isfinite(b).all() and (b[:, 2:] >= b[:, :2]).all()
+    cells: dict[tuple[int, int], set[int]] = {}
+
+    def cell(i: int) -> tuple[int, int]:
+        return (int(b[i, 0] // (1.001 * most[0])), int(b[i, 1] // (1.001 * most[1]))) if cellular else (0, 0)
+
+    def first(i: int) -> int | None:
+        x, y = cell(i)
+        near = np.array(sorted(j for u in (x - 1, x, x + 1) for v in (y - 1, y, y + 1) for j in cells.get((u, v), ()) if j != i), int)
+        o, c = b[near], b[i]
+        low, high = np.minimum(o, c), np.maximum(o, c)
+        ok = (high[:, 0] - low[:, 2] <= gap) & (high[:, 1] - low[:, 3] <= gap) & (high[:, 2] - low[:, 0] < most[0]) & (high[:, 3] - low[:, 1] < most[1])
+        return int(near[ok.argmax()]) if ok.any() else None
+
+    for i in range(len(b)):
+        cells.setdefault(cell(i), set()).add(i)
+    alive = np.ones(len(b), bool)
+    for front in range(len(b)):
+        i = front
+        while alive[i] and (j := first(i)) is not None:
+            i, j = min(i, j), max(i, j)
+            cells[cell(j)].remove(j)
+            cells[cell(i)].remove(i)
+            alive[j] = False
+            b[i] = (*np.minimum(b[i, :2], b[j, :2]), *np.maximum(b[i, 2:], b[j, 2:]))
+            cells.setdefault(cell(i), set()).add(i)
+    return [tuple(r) for r in b[alive].tolist()]
 
 
 def merge_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:

@@ -527,6 +527,14 @@ def nested_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.without_nested(b).select("page", "n")
 
 
+@query()
+def nested_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9, A.16: boxes that no larger one swallows, over all boxes of every page."""
+    n = F.col("n")
+    b = boxes(spark, sf_dir, whole=True).select("page", "n", "x0", "y0", (F.col("x0") + (F.col("x1") - F.col("x0")) * (1 + n % 3)).alias("x1"), (F.col("y0") + (F.col("y1") - F.col("y0")) * (1 + n % 4)).alias("y1"))
+    return raster.without_nested(b).select("page", "n")
+
+
 @query(f"""
 WITH {BOXES}, l AS (SELECT page, CASE WHEN page % 3 = 0 THEN left(text, 3) ELSE text END AS text, confidence FROM boxes)
 SELECT page FROM l WHERE page % 2 = 0 GROUP BY page HAVING bool_and(length(text) < 4 AND confidence < 0.97)
@@ -540,7 +548,7 @@ def photo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def box_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of icons joined to a fixpoint."""
-    b = boxes(spark, sf_dir).where("n < 40").withColumns({"width": F.lit(960.0), "height": F.lit(1200.0)})
+    b = boxes(spark, sf_dir, whole=True).withColumns({"width": F.lit(960.0), "height": F.lit(1200.0)})
     return raster.merge_boxes(b, ["page"])
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from pagemill.operators import recognition
+from pagemill.operators import raster, recognition
 from pagemill.queries import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,59 @@ def test_equal_lines_of_a_page_do_not_meet(spark):
         assert f(lines).count() == n
         small = lines.where("n < 120")
         assert {tuple(r) for r in f(small).collect()} == (style_by_pairs if f is recognition.style_peers else number_by_pairs)(small.collect())
+
+
+def merged_by_pairs(boxes, width, height):
+    b, gap = [list(x) for x in boxes], max(5, min(width, height) / 52)
+
+    def pair():
+        for i in range(len(b)):
+            for j in range(i + 1, len(b)):
+                (p, q, r, s), (t, u, v, w) = b[i], b[j]
+                if max(p, t) - min(r, v) <= gap and max(q, u) - min(s, w) <= gap and max(r, v) - min(p, t) < 0.28 * width and max(s, w) - min(q, u) < 0.32 * height:
+                    return i, j
+        return None
+
+    while (found := pair()) is not None:
+        i, j = found
+        o = b.pop(j)
+        b[i] = [min(b[i][0], o[0]), min(b[i][1], o[1]), max(b[i][2], o[2]), max(b[i][3], o[3])]
+    return [tuple(x) for x in b]
+
+
+def test_merging_by_neighbourhood_is_that_by_pairs():
+    g = np.random.default_rng(3)
+    for k in range(120):
+        n = int(g.integers(0, 60))
+        at, size = g.integers(0, (40, 200, 900)[k % 3], (n, 2)).astype(float), g.integers(-3 if k % 10 == 0 else 0, 40, (n, 2))
+        boxes = [tuple(map(float, x)) for x in np.hstack([at, at + size])]
+        width, height = float(g.integers(20, 900)), float(g.integers(20, 900))
+        assert raster.merged_boxes(boxes, width, height) == merged_by_pairs(boxes, width, height)
+
+
+def test_box_merge_of_all_boxes(spark, long_pages):
+    pages = {}
+    for r in sorted(fixtures.boxes(spark, long_pages, whole=True).collect(), key=lambda r: r.n):
+        pages.setdefault(r.page, []).append((r.x0, r.y0, r.x1, r.y1))
+    got = {}
+    for r in sorted(entry.queries()["box_merge"](spark, long_pages).collect(), key=lambda r: r.n):
+        got.setdefault(r.page, []).append((r.x0, r.y0, r.x1, r.y1))
+    assert got == {p: merged_by_pairs(b, 960.0, 1200.0) for p, b in pages.items()}
+    assert max(b[3] for bs in got.values() for b in bs) > 20 + 19 * 50
+
+
+def test_nested_boxes_of_all_boxes(spark, long_pages):
+    g = np.random.default_rng(4)
+    rows = [(int(g.integers(0, 3)), i, *map(float, (*at, *(at + g.integers(0, (20, 300)[i % 9 == 0], 2))))) for i, at in enumerate(g.integers(-50, 400, (400, 2)))]
+    boxes = spark.createDataFrame(rows, "page long, n int, x0 double, y0 double, x1 double, y1 double")
+    area = lambda b: max(0, b[2] - b[0]) * max(0, b[3] - b[1])
+
+    def swallowed(a, o):
+        both = max(0, min(a[2], o[2]) - max(a[0], o[0])) * max(0, min(a[3], o[3]) - max(a[1], o[1]))
+        part, times = both / max(1, area(a)), area(o) / max(1, area(a))
+        return part > 0.94 and times > 1.3 or part > 0.15 and times > 5
+
+    left = {(r[0], r[1]) for r in rows if not any(o[0] == r[0] and swallowed(r[2:], o[2:]) for o in rows)}
+    assert 0 < len(left) < len(rows)
+    assert {(r.page, r.n) for r in raster.without_nested(boxes).collect()} == left
+    assert max(r.n for r in entry.queries()["nested_boxes_whole"](spark, long_pages).collect()) >= 150
