@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from pagemill.operators import raster, recognition
-from pagemill.queries import fixtures
+from pagemill.queries import fixtures, objects
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,3 +128,32 @@ def test_nested_boxes_of_all_boxes(spark, long_pages):
     assert 0 < len(left) < len(rows)
     assert {(r.page, r.n) for r in raster.without_nested(boxes).collect()} == left
     assert max(r.n for r in entry.queries()["nested_boxes_whole"](spark, long_pages).collect()) >= 150
+
+
+def test_rims_and_events_of_all_boxes(spark, long_pages):
+    pages = {}
+    for r in sorted(fixtures.boxes(spark, long_pages, whole=True).collect(), key=lambda r: r.n):
+        pages.setdefault(r.page, []).append(r)
+    got = entry.queries()["ellipse_rims_whole"](spark, long_pages).collect()
+    assert sorted((r.page, r.n, r.k) for r in got) == sorted((p, r.n, k) for p, rs in pages.items() for r in rs for k in range(5))
+    expected = set()
+    for p, rs in pages.items():
+        free = [r for r in rs if r.n % 3 == 0]
+        for b in (r for r in rs if r.n % 2 == 0):
+            near = min(free, key=lambda e: (sum(abs(getattr(e, c) - getattr(b, c)) for c in ("x0", "y0", "x1", "y1")), e.n), default=None)
+            expected.add((p, b.n, near.n if near else b.n + 100))
+            free = [e for e in free if e is not near]
+    assert {(r.page, r.n, r.seq) for r in entry.queries()["image_events"](spark, long_pages).collect()} == expected
+
+
+def test_panels_by_all_samples(spark):
+    shades, near = objects.SHADES, Counter()
+    for r in fixtures.samples(spark, SF).collect():
+        v = r.value // 40 * 40
+        d = min(sum((v - (c >> k & 255)) ** 2 for k in (16, 8, 0)) for _, c in shades)
+        near[r.vec // 50, r.vec % 50, "all"] += 1
+        near[r.vec // 50, r.vec % 50, "near"] += d < 18 * 18
+    got = entry.queries()["panel_rows_whole"](spark, SF).collect()
+    assert len(got) == sum(k[2] == "all" for k in near)
+    assert all(r.share == pytest.approx(near[r.pic, r.row, "near"] / near[r.pic, r.row, "all"], abs=1e-8) for r in got)
+    assert min(n for k, n in near.items() if k[2] == "all") > 12
