@@ -257,7 +257,8 @@ def merged_boxes(boxes: list[tuple[float, ...]], width: float, height: float) ->
     """Boxes joined while a pair is near and its union small, the first such pair each time (R12, A.17).
 
     A pair's edges differ by less than the union's limit, so a box is compared with those whose corner
-    is in the cells of that size around its own. Boxes before ``front`` have no pair left.
+    is in the cells of that size around its own; one over the limit by itself has no pair. Boxes before
+    ``front`` have no pair left.
     """
     b = np.array(boxes, float).reshape(-1, 4)
     gap = max(5, min(width, height) / 52)
@@ -276,10 +277,11 @@ def merged_boxes(boxes: list[tuple[float, ...]], width: float, height: float) ->
         ok = (high[:, 0] - low[:, 2] <= gap) & (high[:, 1] - low[:, 3] <= gap) & (high[:, 2] - low[:, 0] < most[0]) & (high[:, 3] - low[:, 1] < most[1])
         return int(near[ok.argmax()]) if ok.any() else None
 
-    for i in range(len(b)):
+    fit = np.flatnonzero((b[:, 2:] - b[:, :2] < most).all(axis=1)).tolist()
+    for i in fit:
         cells.setdefault(cell(i), set()).add(i)
     alive = np.ones(len(b), bool)
-    for front in range(len(b)):
+    for front in fit:
         i = front
         while alive[i] and (j := first(i)) is not None:
             i, j = min(i, j), max(i, j)
