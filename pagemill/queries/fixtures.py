@@ -52,13 +52,18 @@ def pieces(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.flatten(F.transform(F.split("text", "\n"), cut))).alias("n", "text"))
 
 
-def boxes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """page, n, x0 to y1, height, text, confidence, family, fit, flags, size: two columns of lines, each fifth one nearly on the one before; whole: of wrapped lines, so that no text is cut."""
+def pieces_sql(width: int) -> str:
+    cut = f"list_transform(range(greatest(1, (length(t) + {width - 1}) // {width})), lambda i: substring(t, (i * {width} + 1)::INT, {width}))"
+    return f"pieces AS (SELECT doc, unnest(range(len(p)))::INT AS n, unnest(p) AS text FROM (SELECT doc_id AS doc, flatten(list_transform(string_split(text, chr(10)), lambda t: {cut})) AS p FROM documents))"
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, n, x0 to y1, height, text, confidence, family, fit, flags, size: two columns of wrapped lines, each fifth one nearly on the one before."""
     near = F.when(F.col("n") % 5 == 4, F.col("n") - 1).otherwise(F.col("n"))
     m = near.cast("double")
     x0 = 40 + 460 * (near % 2) + F.when(F.col("n") % 5 == 4, 3).otherwise(0)
     y0 = 20 + F.floor(m / 2) * 19
-    rows = (pieces if whole else lines)(spark, sf_dir).withColumn("text", F.substring("text", 1, 60)).where("length(trim(text)) > 0")
+    rows = pieces(spark, sf_dir).where("length(trim(text)) > 0")
     wide, high = 30 + 6 * F.length("text"), 12 + F.col("n") % 4
     code = (F.col("doc") * 31 + F.col("n") * 17) % 50
     rows = rows.select("doc", "n", "text", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), wide.alias("w"), high.alias("h"), code.alias("code"))
@@ -67,33 +72,33 @@ def boxes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
 
 
 BOXES = (
-    LINES
+    pieces_sql(60)
     + """, boxes0 AS (
-  SELECT doc, n, substring(text, 1, 60) AS text, CASE WHEN n % 5 = 4 THEN n - 1 ELSE n END AS m, (doc * 31 + n * 17) % 50 AS code FROM lines WHERE length(trim(substring(text, 1, 60), ' ')) > 0),
+  SELECT doc, n, text, CASE WHEN n % 5 = 4 THEN n - 1 ELSE n END AS m, (doc * 31 + n * 17) % 50 AS code FROM pieces WHERE length(trim(text, ' ')) > 0),
 boxes1 AS (SELECT *, (40 + 460 * (m % 2) + CASE WHEN n % 5 = 4 THEN 3 ELSE 0 END)::DOUBLE AS x0, (20 + (m // 2) * 19)::DOUBLE AS y0, 30 + 6 * length(text) AS w, 12 + n % 4 AS h FROM boxes0),
 boxes AS (SELECT doc AS page, n, x0, y0, x0 + w AS x1, y0 + h AS y1, h::DOUBLE AS height, text, 0.5::DOUBLE + code / 100::DOUBLE AS confidence, ['Arial', 'Calibri', 'SimSun'][code % 3 + 1] AS family, code / 64::DOUBLE AS fit, CASE WHEN code % 4 = 0 THEN 16 ELSE 0 END AS flags, (10 + code % 5)::DOUBLE AS size FROM boxes1)"""
 )
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, n, block, line, x0 to y1, size, text: the first twelve words of each line as spans, some close together."""
-    words = lines(spark, sf_dir).select("doc", "n", F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("k", "word")).where("word <> ''")
+    """page, n, block, line, x0 to y1, size, text: the words of each line as spans, some close together."""
+    words = lines(spark, sf_dir).select("doc", "n", F.posexplode(F.split("text", " ")).alias("k", "word")).where("word <> ''")
     x0 = F.col("k") * 50 + F.when(F.col("k") % 3 == 0, 0).otherwise(1)
     y0 = F.col("n") * 14
     wide = F.when(F.col("k") % 3 == 1, 49).otherwise(40)
-    return words.select(F.col("doc").alias("page"), (F.col("n") * 100 + F.col("k")).alias("n"), F.floor(F.col("n") / 4).cast("int").alias("block"), F.when(F.col("k") % 7 == 6, None).otherwise(F.col("n")).alias("line"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + wide).cast("double").alias("x1"), (y0 + 12).cast("double").alias("y1"), (10 + F.col("k") % 2).cast("double").alias("size"), F.col("word").alias("text"))
+    return words.select(F.col("doc").alias("page"), (F.col("n").cast("long") * 1_000_000 + F.col("k")).alias("n"), F.floor(F.col("n") / 4).cast("int").alias("block"), F.when(F.col("k") % 7 == 6, None).otherwise(F.col("n")).alias("line"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + wide).cast("double").alias("x1"), (y0 + 12).cast("double").alias("y1"), (10 + F.col("k") % 2).cast("double").alias("size"), F.col("word").alias("text"))
 
 
 SPANS = (
     LINES
-    + """, words AS (SELECT doc, n, unnest(range(least(12, len(string_split(text, ' ')))))::INT AS k, unnest(string_split(text, ' ')[1:12]) AS word FROM lines),
-spans AS (SELECT doc AS page, n * 100 + k AS n, (n // 4)::INT AS block, CASE WHEN k % 7 = 6 THEN NULL ELSE n END AS line, (k * 50 + CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END)::DOUBLE AS x0, (n * 14)::DOUBLE AS y0, (k * 50 + CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN k % 3 = 1 THEN 49 ELSE 40 END)::DOUBLE AS x1, (n * 14 + 12)::DOUBLE AS y1, (10 + k % 2)::DOUBLE AS size, word AS text FROM words WHERE word <> '')"""
+    + """, words AS (SELECT doc, n, unnest(range(len(string_split(text, ' '))))::INT AS k, unnest(string_split(text, ' ')) AS word FROM lines),
+spans AS (SELECT doc AS page, n::BIGINT * 1000000 + k AS n, (n // 4)::INT AS block, CASE WHEN k % 7 = 6 THEN NULL ELSE n END AS line, (k * 50 + CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END)::DOUBLE AS x0, (n * 14)::DOUBLE AS y0, (k * 50 + CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN k % 3 = 1 THEN 49 ELSE 40 END)::DOUBLE AS x1, (n * 14 + 12)::DOUBLE AS y1, (10 + k % 2)::DOUBLE AS size, word AS text FROM words WHERE word <> '')"""
 )
 
 
 def paragraph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one column with the columns that paragraphs are told by; gaps, colours and weights change by number."""
-    rows = lines(spark, sf_dir).withColumn("text", F.substring("text", 1, 70)).where("length(text) > 0")
+    """Wrapped lines of one column with the columns that paragraphs are told by; gaps, colours and weights change by number."""
+    rows = pieces(spark, sf_dir, 70).where("length(text) > 0")
     y0 = F.col("n") * 16 + F.floor(F.col("n") / 6) * 20
     high = 11 + F.col("n") % 2
     return rows.select(
@@ -105,8 +110,8 @@ def paragraph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARAGRAPH_LINES = (
-    LINES
-    + """, cut AS (SELECT doc, n, substring(text, 1, 70) AS text FROM lines WHERE length(substring(text, 1, 70)) > 0),
+    pieces_sql(70)
+    + """, cut AS (SELECT doc, n, text FROM pieces WHERE length(text) > 0),
 plines AS (
   SELECT doc AS page, n, (40 + n % 3)::DOUBLE AS x0, (n * 16 + (n // 6) * 20)::DOUBLE AS y0, (40 + 5 * length(text))::DOUBLE AS x1, (n * 16 + (n // 6) * 20 + 11 + n % 2)::DOUBLE AS y1,
          12.0::DOUBLE AS size, CASE WHEN n % 23 = 22 THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS angle, text, CASE WHEN (n // 9) % 2 = 0 THEN 3355443 ELSE 10040115 END AS color,

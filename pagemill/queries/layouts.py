@@ -80,44 +80,24 @@ def retry_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page", "n", "r.text", F.round("r.score", 9).alias("score"))
 
 
-PEERS = "short AS (SELECT page, n, left(text, 2) AS text, height, family, fit FROM boxes WHERE n < 60)"
-
-
-def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes(spark, sf_dir).where("n < 60").withColumn("text", F.left("text", F.lit(2)))
-
-
 @query(f"""
-WITH {BOXES}, {PEERS}, p AS (SELECT a.page, a.n, b.n AS m, b.family, b.fit FROM short a JOIN short b ON a.page = b.page AND a.text = b.text AND b.height / a.height > 0.85 AND b.height / a.height < 1.18)
+WITH {BOXES}, p AS (SELECT a.page, a.n, b.n AS m, b.family, b.fit FROM boxes a JOIN boxes b ON a.page = b.page AND a.text = b.text AND b.height / a.height > 0.85 AND b.height / a.height < 1.18)
 SELECT page, n, family, fit FROM (SELECT *, row_number() OVER (PARTITION BY page, n ORDER BY fit DESC, m) AS r FROM p) WHERE r = 1
 """)
 def style_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The style of lines of one text."""
-    return recognition.style_peers(peers(spark, sf_dir))
+    return recognition.style_peers(boxes(spark, sf_dir))
 
 
 @query(f"""
-WITH {BOXES}, labels AS (SELECT page, n, (10 + n % 80)::VARCHAR AS text, height, family, fit FROM boxes WHERE n < 60 AND n % 2 = 0),
+WITH {BOXES}, labels AS (SELECT page, n, (10 + n % 80)::VARCHAR AS text, height, family, fit FROM boxes WHERE n % 2 = 0),
 p AS (SELECT a.page, a.n, b.n AS m, b.family, b.fit FROM labels a JOIN labels b ON a.page = b.page AND b.height / a.height > 0.72 AND b.height / a.height < 1.4),
 v AS (SELECT page, n, family, count(*) AS votes, max(fit) AS fit, sum(count(*)) OVER (PARTITION BY page, n) AS peers FROM p GROUP BY page, n, family)
 SELECT page, n, family, fit FROM (SELECT *, row_number() OVER (PARTITION BY page, n ORDER BY votes DESC, family) AS r FROM v) WHERE r = 1 AND peers >= 3
 """)
 def number_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The style of labels of two digits."""
-    b = boxes(spark, sf_dir).where("n < 60").withColumn("text", F.when(F.col("n") % 2 == 0, (10 + F.col("n") % 80).cast("string")).otherwise("word"))
-    return recognition.number_peers(b)
-
-
-@query()
-def style_peers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The style of lines of one text, over all lines and whole texts."""
-    return recognition.style_peers(boxes(spark, sf_dir, whole=True))
-
-
-@query()
-def number_peers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The style of labels of two digits, over all lines."""
-    b = boxes(spark, sf_dir, whole=True).withColumn("text", F.when(F.col("n") % 2 == 0, (10 + F.col("n") % 80).cast("string")).otherwise("word"))
+    b = boxes(spark, sf_dir).withColumn("text", F.when(F.col("n") % 2 == 0, (10 + F.col("n") % 80).cast("string")).otherwise("word"))
     return recognition.number_peers(b)
 
 
@@ -199,15 +179,15 @@ def inline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.merge_inline(spans(spark, sf_dir)).select("page", "n", "x0", "y0", "x1", "y1", "runs", "text")
 
 
-GLYPHS = LINES + f""", chars AS (SELECT doc, n, text, unnest(range(least(20, length(text))))::INT AS place FROM lines WHERE n < 10),
+GLYPHS = LINES + f""", chars AS (SELECT doc, n, text, unnest(range(length(text)))::INT AS place FROM lines),
 glyphs AS (SELECT doc AS page, n, place, substring(text, place + 1, 1) AS ch, (place * 10 + CASE WHEN place % 5 = 4 THEN 3 ELSE 0 END){D} AS x0, (place * 10 + CASE WHEN place % 5 = 4 THEN 3 ELSE 0 END + 8 - place % 3){D} AS x1, 10.0{D} AS size FROM chars)"""
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).where("n < 10 and length(text) > 0")
-    each = rows.select(F.col("doc").alias("page"), "n", "text", F.explode(F.sequence(F.lit(0), F.least(F.lit(20), F.length("text")) - 1)).alias("place"))
+    rows = lines(spark, sf_dir).where("length(text) > 0")
+    each = rows.select(F.col("doc").alias("page"), "n", F.posexplode(F.split("text", "")).alias("place", "ch"))
     x0 = F.col("place") * 10 + F.when(F.col("place") % 5 == 4, 3).otherwise(0)
-    return each.select("page", "n", "place", F.substring("text", F.col("place") + 1, F.lit(1)).alias("ch"), x0.cast("double").alias("x0"), (x0 + 8 - F.col("place") % 3).cast("double").alias("x1"), F.lit(10.0).alias("size"))
+    return each.select("page", "n", "place", "ch", x0.cast("double").alias("x0"), (x0 + 8 - F.col("place") % 3).cast("double").alias("x1"), F.lit(10.0).alias("size"))
 
 
 @query(f"""
@@ -322,7 +302,7 @@ def image_page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {IMAGE_PAGES}, c AS (SELECT doc, page, text, height, unnest(range(least(200, length(text))))::INT AS n FROM pg),
+WITH {IMAGE_PAGES}, c AS (SELECT doc, page, text, height, unnest(range(length(text)))::INT AS n FROM pg),
 g AS (SELECT doc, page, height, n, substring(text, n + 1, 1) AS ch, (20 + (n // 40) * (CASE WHEN doc % 2 = 0 THEN 90 ELSE 3 END)){D} AS base FROM c WHERE n % 11 <> 10 AND trim(substring(text, n + 1, 1), ' ' || chr(9) || chr(10)) <> ''),
 r AS (SELECT doc, page, any_value(height) AS height, count(*) AS chars, count(DISTINCT CASE WHEN doc % 2 = 0 THEN base ELSE floor((base - 20) / 3) END) AS bases, max(base) - min(base - 10) AS tall FROM g GROUP BY doc, page),
 rich AS (SELECT doc, page FROM r WHERE chars >= 80 AND bases >= 3 AND tall >= 0.25 * height),
@@ -332,7 +312,7 @@ SELECT doc, page, round(least(3.0{D}, 3200.0{D} / greatest(width, height)), 9) A
 def recognition_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to be read as pictures, and their scale."""
     pg, im = image_pages(spark, sf_dir)
-    each = pg.where("length(text) > 0").select("doc", "page", "text", F.explode(F.sequence(F.lit(0), F.least(F.lit(200), F.length("text")) - 1)).alias("n"))
+    each = pg.where("length(text) > 0").select("doc", "page", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("n"))
     base = (20 + F.floor(F.col("n") / 40) * F.when(F.col("doc") % 2 == 0, 90).otherwise(3)).cast("double")
     g = each.select("doc", "page", "n", F.substring("text", F.col("n") + 1, F.lit(1)).alias("ch"), base.alias("baseline"), F.lit(8.0).alias("size"), (base - 10).alias("y0"), base.alias("y1"), (F.col("n") % 11 != 10).alias("visible"))
     got = pages.to_recognise(pg, im, g)
@@ -412,7 +392,7 @@ def frame_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {GLYPHS}, s AS (SELECT page, n, ch, x0 AS x, (n * 12){D} AS y FROM glyphs WHERE place = 0), t AS (SELECT page, (n * 3 + place % 7)::BIGINT AS seqno, ch, (place * 10 + n){D} AS tx, (n * 12 + place % 2){D} AS ty FROM glyphs WHERE place < 12),
+WITH {GLYPHS}, s AS (SELECT page, n, ch, x0 AS x, (n * 12){D} AS y FROM glyphs WHERE place = 0), t AS (SELECT page, (n * 3 + place % 7)::BIGINT AS seqno, ch, (place * 10 + n){D} AS tx, (n * 12 + place % 2){D} AS ty FROM glyphs),
 b AS (SELECT s.page, s.n, t.seqno, row_number() OVER (PARTITION BY s.page, s.n ORDER BY (tx - x) ^ 2 + (ty - y) ^ 2 NULLS LAST, seqno) AS r FROM s LEFT JOIN t ON s.page = t.page AND s.ch = t.ch)
 SELECT page, n, coalesce(seqno, 999)::BIGINT AS seq FROM b WHERE r = 1
 """)
@@ -420,7 +400,7 @@ def nearest_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paint order of a span from its nearest trace."""
     g = glyphs(spark, sf_dir)
     s = g.where("place = 0").select("page", "n", "ch", F.col("x0").alias("x"), (F.col("n") * 12).cast("double").alias("y"), F.lit(999).alias("drawn"))
-    t = g.where("place < 12").select("page", (F.col("n") * 3 + F.col("place") % 7).cast("long").alias("seqno"), "ch", (F.col("place") * 10 + F.col("n")).cast("double").alias("tx"), (F.col("n") * 12 + F.col("place") % 2).cast("double").alias("ty"))
+    t = g.select("page", (F.col("n") * 3 + F.col("place") % 7).cast("long").alias("seqno"), "ch", (F.col("place") * 10 + F.col("n")).cast("double").alias("tx"), (F.col("n") * 12 + F.col("place") % 2).cast("double").alias("ty"))
     return pages.nearest_trace(s, t)
 
 
@@ -515,7 +495,7 @@ def photo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {BOXES}, b AS (SELECT page, n, x0, y0, x0 + (x1 - x0) * (1 + n % 3) AS x1, y0 + (y1 - y0) * (1 + n % 4) AS y1 FROM boxes WHERE n < 40),
+WITH {BOXES}, b AS (SELECT page, n, x0, y0, x0 + (x1 - x0) * (1 + n % 3) AS x1, y0 + (y1 - y0) * (1 + n % 4) AS y1 FROM boxes),
 p AS (SELECT a.page, a.n FROM b a JOIN b o ON a.page = o.page WHERE (greatest(0, least(a.x1, o.x1) - greatest(a.x0, o.x0)) * greatest(0, least(a.y1, o.y1) - greatest(a.y0, o.y0)) / greatest(1, (a.x1 - a.x0) * (a.y1 - a.y0)) > 0.94 AND (o.x1 - o.x0) * (o.y1 - o.y0) / greatest(1, (a.x1 - a.x0) * (a.y1 - a.y0)) > 1.3)
   OR (greatest(0, least(a.x1, o.x1) - greatest(a.x0, o.x0)) * greatest(0, least(a.y1, o.y1) - greatest(a.y0, o.y0)) / greatest(1, (a.x1 - a.x0) * (a.y1 - a.y0)) > 0.15 AND (o.x1 - o.x0) * (o.y1 - o.y0) / greatest(1, (a.x1 - a.x0) * (a.y1 - a.y0)) > 5))
 SELECT page, n FROM b ANTI JOIN p USING (page, n)
@@ -523,15 +503,7 @@ SELECT page, n FROM b ANTI JOIN p USING (page, n)
 def nested_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9, A.16: boxes that no larger one swallows."""
     n = F.col("n")
-    b = boxes(spark, sf_dir).where("n < 40").select("page", "n", "x0", "y0", (F.col("x0") + (F.col("x1") - F.col("x0")) * (1 + n % 3)).alias("x1"), (F.col("y0") + (F.col("y1") - F.col("y0")) * (1 + n % 4)).alias("y1"))
-    return raster.without_nested(b).select("page", "n")
-
-
-@query()
-def nested_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J9, A.16: boxes that no larger one swallows, over all boxes of every page."""
-    n = F.col("n")
-    b = boxes(spark, sf_dir, whole=True).select("page", "n", "x0", "y0", (F.col("x0") + (F.col("x1") - F.col("x0")) * (1 + n % 3)).alias("x1"), (F.col("y0") + (F.col("y1") - F.col("y0")) * (1 + n % 4)).alias("y1"))
+    b = boxes(spark, sf_dir).select("page", "n", "x0", "y0", (F.col("x0") + (F.col("x1") - F.col("x0")) * (1 + n % 3)).alias("x1"), (F.col("y0") + (F.col("y1") - F.col("y0")) * (1 + n % 4)).alias("y1"))
     return raster.without_nested(b).select("page", "n")
 
 
@@ -548,11 +520,19 @@ def photo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def box_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of icons joined to a fixpoint."""
-    b = boxes(spark, sf_dir, whole=True).withColumns({"width": F.lit(960.0), "height": F.lit(1200.0)})
+    b = boxes(spark, sf_dir).withColumns({"width": F.lit(960.0), "height": F.lit(1200.0)})
     return raster.merge_boxes(b, ["page"])
 
 
-@query()
+@query(f"""
+WITH {SAMPLES}, p AS (SELECT vec, pos // 32 AS y, pos % 32 // 4 AS x, pos % 4 AS c, value AS v, max(CASE WHEN pos % 4 = 3 THEN value END) OVER q AS a, max(CASE WHEN pos % 4 = 0 THEN value END) OVER q AS r, max(CASE WHEN pos % 4 = 1 THEN value END) OVER q AS g, max(CASE WHEN pos % 4 = 2 THEN value END) OVER q AS b FROM samples WHERE pos < 64 WINDOW q AS (PARTITION BY vec, pos // 4)),
+t AS (SELECT vec, 'rotate' AS tool, 8 AS h, 2 AS w, x AS y, 1 - y AS x, c, v FROM p
+  UNION ALL SELECT vec, 'mirror', 2, 8, 1 - y, x, c, v FROM p
+  UNION ALL SELECT vec, 'grayscale', 2, 8, y, x, c, CASE WHEN c = 3 THEN v ELSE (r * 19595 + g * 38470 + b * 7471 + 32768) >> 16 END FROM p
+  UNION ALL SELECT vec, 'half', 1, 4, 0, x // 2, c, round_even(avg(v), 0)::INT FROM p GROUP BY vec, x // 2, c
+  UNION ALL SELECT vec, 'flatten', 2, 8, y, x, c, CASE WHEN c = 3 THEN 255 ELSE round_even(v * (a / 255{D}) + 255 * (1 - a / 255{D}), 0)::INT END FROM p)
+SELECT vec, tool, any_value(h)::INT AS h, any_value(w)::INT AS w, string_agg(printf('%02X', v::INT), '' ORDER BY y, x, c) AS data FROM t GROUP BY vec, tool
+""")
 def picture_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1-R3, SK2, SC4: vectors as pictures of 8 x 2 pixels, turned, mirrored, greyed, halved, on white."""
     e = samples(spark, sf_dir).where("pos < 64")

@@ -24,7 +24,7 @@ def long_pages(spark, tmp_path_factory):
     return at
 
 
-def test_wrapped_lines_hold_whole_texts(spark, long_pages):
+def test_wrapped_lines_hold_texts(spark, long_pages):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{long_pages}/documents.parquet").collect()}
     got = sorted(fixtures.pieces(spark, long_pages).collect(), key=lambda r: (r.doc, r.n))
     for d, text in docs.items():
@@ -54,13 +54,13 @@ def number_by_pairs(rows):
 
 
 def test_peers_of_all_lines(spark, long_pages):
-    boxes = fixtures.boxes(spark, long_pages, whole=True)
+    boxes = fixtures.boxes(spark, long_pages)
     rows = boxes.collect()
     assert max(r.n for r in rows) >= 150
-    got = {tuple(r) for r in entry.queries()["style_peers_whole"](spark, long_pages).select("page", "n", "family", "fit").collect()}
+    got = {tuple(r) for r in entry.queries()["style_peers"](spark, long_pages).select("page", "n", "family", "fit").collect()}
     assert got == style_by_pairs(rows) and len(got) == len(rows)
     numbers = boxes.selectExpr("page", "n", "height", "family", "fit", "if(n % 2 = 0, cast(10 + n % 80 as string), 'word') as text").collect()
-    got = {tuple(r) for r in entry.queries()["number_peers_whole"](spark, long_pages).select("page", "n", "family", "fit").collect()}
+    got = {tuple(r) for r in entry.queries()["number_peers"](spark, long_pages).select("page", "n", "family", "fit").collect()}
     assert got == number_by_pairs(numbers) and max(n for _, n, _, _ in got) >= 150
 
 
@@ -104,7 +104,7 @@ def test_merging_by_neighbourhood_is_that_by_pairs():
 
 def test_box_merge_of_all_boxes(spark, long_pages):
     pages = {}
-    for r in sorted(fixtures.boxes(spark, long_pages, whole=True).collect(), key=lambda r: r.n):
+    for r in sorted(fixtures.boxes(spark, long_pages).collect(), key=lambda r: r.n):
         pages.setdefault(r.page, []).append((r.x0, r.y0, r.x1, r.y1))
     got = {}
     for r in sorted(entry.queries()["box_merge"](spark, long_pages).collect(), key=lambda r: r.n):
@@ -127,14 +127,14 @@ def test_nested_boxes_of_all_boxes(spark, long_pages):
     left = {(r[0], r[1]) for r in rows if not any(o[0] == r[0] and swallowed(r[2:], o[2:]) for o in rows)}
     assert 0 < len(left) < len(rows)
     assert {(r.page, r.n) for r in raster.without_nested(boxes).collect()} == left
-    assert max(r.n for r in entry.queries()["nested_boxes_whole"](spark, long_pages).collect()) >= 150
+    assert max(r.n for r in entry.queries()["nested_boxes"](spark, long_pages).collect()) >= 150
 
 
 def test_rims_and_events_of_all_boxes(spark, long_pages):
     pages = {}
-    for r in sorted(fixtures.boxes(spark, long_pages, whole=True).collect(), key=lambda r: r.n):
+    for r in sorted(fixtures.boxes(spark, long_pages).collect(), key=lambda r: r.n):
         pages.setdefault(r.page, []).append(r)
-    got = entry.queries()["ellipse_rims_whole"](spark, long_pages).collect()
+    got = entry.queries()["ellipse_rims"](spark, long_pages).collect()
     assert sorted((r.page, r.n, r.k) for r in got) == sorted((p, r.n, k) for p, rs in pages.items() for r in rs for k in range(5))
     expected = set()
     for p, rs in pages.items():
@@ -153,7 +153,7 @@ def test_panels_by_all_samples(spark):
         d = min(sum((v - (c >> k & 255)) ** 2 for k in (16, 8, 0)) for _, c in shades)
         near[r.vec // 50, r.vec % 50, "all"] += 1
         near[r.vec // 50, r.vec % 50, "near"] += d < 18 * 18
-    got = entry.queries()["panel_rows_whole"](spark, SF).collect()
+    got = entry.queries()["panel_rows"](spark, SF).collect()
     assert len(got) == sum(k[2] == "all" for k in near)
     assert all(r.share == pytest.approx(near[r.pic, r.row, "near"] / near[r.pic, r.row, "all"], abs=1e-8) for r in got)
     assert min(n for k, n in near.items() if k[2] == "all") > 12
