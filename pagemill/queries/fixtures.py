@@ -154,3 +154,43 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILES = f"files AS (SELECT doc_id // 4 AS batch, (doc_id % 4)::INT AS ord, {listed(EXTENSIONS)}[CASE WHEN (doc_id // 4) % 3 = 0 THEN doc_id ELSE doc_id // 4 END % {len(EXTENSIONS)} + 1] AS ext, source, n_chars AS size, doc_id FROM documents)"
+
+
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, picture, lines, palette, objects: a small page for each document: letters on a panel, a photograph, a disc.
+
+    Pages of odd numbers have a second panel on their right half; every third disc has a sign in it.
+    """
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for page in b.column(0).to_pylist():
+                panels = [(250, 250, 240), (200, 220, 250)]
+                a = np.full((120, 160, 4), 255, np.uint8)
+                a[:, :, :3] = panels[0]
+                if page % 2:
+                    a[:, 80:, :3] = panels[1]
+                lines = [{"n": k, "text": "letters"[: 4 + page % 4], "x0": 10.0, "y0": 8.0 + 24 * k, "x1": 62.0, "y1": 24.0 + 24 * k} for k in range(2)]
+                for line in lines:
+                    for i in range(len(line["text"])):
+                        a[int(line["y0"]) + 3 : int(line["y0"]) + 13, 13 + 7 * i : 16 + 7 * i, :3] = (20, 30, 40 + page % 8)
+                a[30:70, 95:145, :3] = np.random.default_rng(page).integers(0, 256, (40, 50, 3))
+                y, x = np.ogrid[:40, :40]
+                a[70:110, 20:60, :3][np.hypot((x - 19.5) / 20, (y - 19.5) / 20) <= 1] = (30, 120, 60 + page % 16)
+                if page % 3 == 0:
+                    a[82:98, 36:44, :3] = 255
+                objects = [{"n": 10, "kind": "photo", "x0": 95, "y0": 30, "x1": 145, "y1": 70}, {"n": 11, "kind": "ellipse", "x0": 20, "y0": 70, "x1": 60, "y1": 110}]
+                out.append({"page": page, "picture": {"h": 120, "w": 160, "data": a.tobytes()}, "lines": lines, "palette": [list(p) for p in panels], "objects": objects})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=into)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = "page long, picture struct<h:int,w:int,data:binary>, lines array<struct<n:int,text:string,x0:double,y0:double,x1:double,y1:double>>, palette array<array<int>>, objects array<struct<n:int,kind:string,x0:int,y0:int,x1:int,y1:int>>"
+    into = to_arrow_schema(StructType.fromDDL(kind))
+    return table(spark, sf_dir, "documents").select("doc_id").mapInArrow(draw, kind)
