@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import WORD, ship, written
+from .scratch import WORD, packed, repeats, ship, written
 
 #: Sources by code point, null last, weigh these in turn.
 WEIGHTS = (5, 2, 1)
@@ -133,19 +133,21 @@ def ranges(start: int, end: int, chosen: np.ndarray, block: int) -> list[dict[st
     return out
 
 
-def mix(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, times: float = 1.5, shard_rows: int = 2048, most_shards: int = 65536, block: int = 1024) -> DataFrame:
-    """key, text_hash, source, size, source_size, target, taken, passes, ranges: what the mix takes of each row.
+def mix(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, times: float = 1.5, shard_rows: int = 2048, most_shards: int = 65536, block: int = 1024, rid: str | None = None) -> DataFrame:
+    """key, text_hash, source, size, source_size, target, taken, passes, ranges, rid: what the mix takes of each row.
 
     size: words of the text (null: 0). target: the source's. taken: passes * size plus the words in
     ``ranges``, which are the row's own word numbers [lo, hi). A null source is a source, the last.
     Blocks hold ``block`` words, fewer (8 at least) where the least target is under 100 blocks. A
     source of no words has target 0. Rows with a null key, empty texts and repeated rows are ordinary
-    rows; no rows give no rows. Over 200,000 sources are refused with ValueError, none is dropped.
+    rows; no rows give no rows. Over 200,000 sources are refused with ValueError, none is dropped. rid
+    is a column of docs that numbers its rows, or else made here; it parts rows that repeat key and
+    text, each of which has its own share, and deals them to several shards where they are very many.
     """
     spark = docs.sparkSession
     ship(spark)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    slim = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(t).alias("text_hash"))
+    slim = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(t).alias("text_hash"), (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"))
     slim = written(slim, "sizes")
     found = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -159,8 +161,8 @@ def mix(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "text",
     shards = max(1, min(most_shards, math.ceil(sum(r["n"] for r in found) / shard_rows)))
     catalogue = spark.createDataFrame([(i, r["source"], int(r["size"]), float(target[i]), int(quota[i])) for i, r in enumerate(found)], "sid int, source string, source_size long, target double, quota long")
 
-    rows = slim.join(F.broadcast(catalogue.select(F.col("source").alias("s"), "sid")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "k", "text_hash"), F.lit(shards)).cast("int"))
+    rows = repeats(slim, ["k", "text_hash"]).join(F.broadcast(catalogue.select(F.col("source").alias("s"), "sid")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    rows = rows.withColumn("shard", F.pmod(F.when(F.col("salt") == 0, F.xxhash64(F.lit(seed), "k", "text_hash")).otherwise(F.col("salt")), F.lit(shards)).cast("int")).drop("salt")
 
     def deal(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("shard")
@@ -173,34 +175,33 @@ def mix(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "text",
     def choose(own: pd.DataFrame, quotas: pd.DataFrame) -> pd.DataFrame:
         words = dict(zip(quotas["sid"], quotas["words"], strict=True))
         out = []
-        for sid, part in own.sort_values(["sid", "at", "text_hash", "size"], kind="stable").groupby("sid", sort=True):
+        for sid, part in own.sort_values(["sid", "at", "text_hash", "size", "rid"], kind="stable").groupby("sid", sort=True):
             size = part["size"].to_numpy(np.int64)
             shard = int(part["shard"].iloc[0])
             passes, chosen, some = take(size, int(words.get(sid, 0)), block, seed, shard, int(sid))
             ends = np.cumsum(size)
             cut = [[{"lo": 0, "hi": int(n)}] if n and s == n else [] if not s else ranges(int(e - n), int(e), chosen, block) for s, n, e in zip(some, size, ends, strict=True)]
-            out.append(pd.DataFrame({"k": part["k"], "text_hash": part["text_hash"], "sid": part["sid"], "size": size, "passes": passes, "taken": passes * size + some, "ranges": cut}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("k", "text_hash", "sid", "size", "passes", "taken", "ranges")})
+            out.append(pd.DataFrame({"k": part["k"], "text_hash": part["text_hash"], "sid": part["sid"], "size": size, "passes": passes, "taken": passes * size + some, "ranges": cut, "rid": part["rid"]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("k", "text_hash", "sid", "size", "passes", "taken", "ranges", "rid")})
 
     kind = slim.schema["k"].dataType.simpleString()
     own = rows.withColumn("at", F.xxhash64(F.lit(seed + 1), "k", "text_hash")).groupBy("shard")
-    got = own.cogroup(quotas.groupBy("shard")).applyInPandas(choose, f"k {kind}, text_hash long, sid int, size long, passes int, taken long, ranges array<struct<lo: long, hi: long>>")
+    got = own.cogroup(quotas.groupBy("shard")).applyInPandas(choose, f"k {kind}, text_hash long, sid int, size long, passes int, taken long, ranges array<struct<lo: long, hi: long>>, rid long")
     got = got.join(F.broadcast(catalogue.drop("quota")), "sid")
-    return got.select(F.col("k").alias(key), "text_hash", "source", "size", "source_size", "target", "taken", "passes", "ranges")
+    return got.select(F.col("k").alias(key), "text_hash", "source", "size", "source_size", "target", "taken", "passes", "ranges", "rid")
 
 
 def mixed_texts(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", times: float = 1.5) -> DataFrame:
     """docs as the mix has them: a row for each pass over a text, and one with the words of its ranges.
 
-    The columns of docs stay; a null text, which has no words, isn't taken, nor is any other text
-    without words. Of a range the text runs from its first word's first character to its last's last.
-    Rows that repeat key and text are treated alike, as the first of them is. ``n_chars``, where docs
-    has it as a whole number, is counted anew.
+    The columns of docs stay, packed in one on the way, so they may have any names; a null text, which
+    has no words, isn't taken, nor is any other text without words. Of a range the text runs from its
+    first word's first character to its last's last. Rows that repeat key and text each have their own
+    share. ``n_chars``, where docs has it as a whole number, is counted anew.
     """
-    got = mix(docs, seed, key, text, source, times=times).groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).agg(F.min(F.struct("passes", "ranges")).alias("_m"))
-    own = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    got = got.withColumnRenamed("_h", "_h2")
-    both = own.join(got, own[key].eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_h2"))).where("_m.passes > 0 or size(_m.ranges) > 0")
+    rows = written(docs.select(packed(docs), F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(source).alias("source"), F.monotonically_increasing_id().alias("rid")), "rows")
+    got = mix(rows, seed, "k", "t", "source", times=times, rid="rid").where(F.col("size") > 0).select("rid", "passes", "ranges")
+    both = rows.select("rid", "row", "t").join(got, "rid").where((F.col("passes") > 0) | (F.size("ranges") > 0))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, parts: pd.Series) -> pd.Series:
@@ -212,15 +213,14 @@ def mixed_texts(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str =
             out.append("\n".join(t[at[r["lo"]][0] : at[r["hi"] - 1][1]] for r in rs))
         return pd.Series(out)
 
-    whole = both.where("_m.passes > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_m.passes")))).drop("_n")
-    entire = (F.size("_m.ranges") == 1) & (F.col("_m.ranges")[0]["lo"] == 0) & (F.col("_m.ranges")[0]["hi"] == F.regexp_count(text, F.lit(WORD)))
-    some = both.where("size(_m.ranges) > 0")
-    uncut = some.where(entire)
-    parts = some.where(~entire).withColumn(text, cut(F.col(text), F.col("_m.ranges")))
-    out = whole.unionByName(uncut).unionByName(parts)
-    if "n_chars" in docs.columns and docs.schema["n_chars"].dataType.typeName() in ("long", "integer"):
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    whole = both.where("passes > 0").withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("passes")))).drop("n")
+    entire = (F.size("ranges") == 1) & (F.col("ranges")[0]["lo"] == 0) & (F.col("ranges")[0]["hi"] == F.regexp_count("t", F.lit(WORD)))
+    some = both.where("size(ranges) > 0")
+    parts = some.where(~entire).withColumn("t", cut(F.col("t"), F.col("ranges")))
+    out = whole.unionByName(some.where(entire)).unionByName(parts)
+    counted = "n_chars" in docs.columns and docs.schema["n_chars"].dataType.typeName() in ("long", "integer")
+    made = {text: F.col("t")} | ({"n_chars": F.length("t").cast(docs.schema["n_chars"].dataType)} if counted else {})
+    return out.select(*(made.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -70,16 +70,16 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def repeats(rows: DataFrame, keys: list[str], rid: str = "rid", line: int = 2048, most: int = 50_000) -> DataFrame:
-    """rows and salt: 0, but for rows that are alike in keys in great number a number that deals them out.
+    """rows and salt: 0, but for rows that are alike in keys in great number a hash of their own, to deal them out.
 
     Great is over ``line`` and over the ``most``-th part of all rows, so those kept in mind are ``most``.
     """
     n = rows.count()
     line = max(line, n // most)
-    heavy = rows.groupBy(*(F.col(k).alias(f"own_{k}") for k in keys)).agg(F.ceil(F.count(F.lit(1)) / line).cast("int").alias("pieces")).where("pieces > 1")
+    heavy = rows.groupBy(*(F.col(k).alias(f"own_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > line)
     met = [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys]
     out = rows.join(F.broadcast(heavy), reduce(and_, met), "left")
-    salt = F.coalesce(F.pmod(F.xxhash64(rid), F.col("pieces")).cast("int"), F.lit(0))
+    salt = F.when(F.col("times").isNotNull(), F.xxhash64(rid)).otherwise(F.lit(0))
     return out.select(*rows.columns, salt.alias("salt"))
 
 

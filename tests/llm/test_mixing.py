@@ -122,3 +122,70 @@ def test_few_rows_of_a_source_over_many_shards(spark):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert len(rows) == 6000 and all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
+
+
+def by_force(rows, block, seed=7):
+    """taken of each rid: quotas dealt by quotients one seat at a time, and every shard's words walked one by one."""
+    size, shards = defaultdict(int), defaultdict(lambda: defaultdict(list))
+    for r in rows:
+        size[r.source] += r["size"]
+        shards[r.source][r.shard].append(r)
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    target = mixing.targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))])
+    seats = by_quotients(target, round(target.sum() / block))
+    out = {}
+    for sid, s in enumerate(order):
+        names = sorted(shards[s])
+        own = [sum(r["size"] for r in shards[s][k]) for k in names]
+        got = by_quotients([float(x) for x in own], seats[sid], [2 * x // block for x in own])
+        quota = [x * block for x in got]
+        if sum(got) < seats[sid]:  # too few whole blocks: in proportion
+            whole, upto = sum(own), np.cumsum(own).tolist()
+            total = min(seats[sid] * block, 2 * whole)
+            quota = [total * b // whole - total * a // whole for a, b in zip([0, *upto], upto, strict=False)]
+        for shard, q in zip(names, quota, strict=True):
+            part = sorted(shards[s][shard], key=lambda r: (r.at, r.text_hash, r["size"], r.rid))
+            stream = [r.rid for r in part for _ in range(r["size"])]
+            passes, rest = divmod(q, len(stream)) if stream else (0, 0)
+            for r in part:
+                out[r.rid] = passes * r["size"]
+            blocks = [stream[i : i + block] for i in range(0, len(stream), block)]
+            for b in mixing.seeded(len(blocks), seed, shard, sid):
+                for rid in blocks[b][: max(0, rest)]:
+                    out[rid] += 1
+                rest -= len(blocks[b])
+    return out
+
+
+def test_every_shard_as_by_force(spark):
+    g = np.random.default_rng(4)
+    docs = [(i, "w " * int(g.integers(0, 60)), ("a", "b", None)[int(g.integers(0, 3))]) for i in range(1200)]
+    docs += [(7000, "r " * 40, "a")] * 30
+    src = spark.createDataFrame([(rid, *d) for rid, d in enumerate(docs)], "rid long, doc_id long, text string, source string")
+    shards = 7
+    rows = src.selectExpr("rid", "source", "cast(regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+') as long) size", "xxhash64(text) text_hash", "cast(pmod(xxhash64(7, doc_id, xxhash64(text)), 7) as int) shard", "xxhash64(8, doc_id, xxhash64(text)) at").collect()
+    block = 16
+    got = {r.rid: r.taken for r in mixing.mix(src, shard_rows=-(-len(docs) // shards), block=block, rid="rid").collect()}
+    assert got == by_force(rows, block)
+
+
+def test_repeated_rows_each_have_their_share(spark):
+    docs = odd(spark).union(spark.createDataFrame([(5000, "one two three four five six seven " * 3, "en", "a", 99, "x", "y", "z")] * 60, odd(spark).schema))
+    out, taken = mixing.mixed_texts(docs).collect(), mixing.digests(docs).collect()
+    assert sum(len((r.text or "").encode().split()) for r in out) == sum(r.taken for r in taken)
+    assert all(r.n_chars == len(r.text) for r in out)
+
+
+def test_clashing_names_stay(spark):
+    names = {"_h": "1", "_k": "2", "_m": "3", "row": "4", "k": "5", "t": "6", "rid": "7", "passes": "8", "ranges": "9", "a.b": "10"}
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 9, "ab"[i % 2], *names.values()) for i in range(50)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    rows = mixing.mixed_texts(docs).collect()
+    assert rows and all(r[n] == v for r in rows for n, v in names.items())
+
+
+def test_many_repeats_are_dealt_out(spark, monkeypatch):
+    from pagemill.llm import scratch
+
+    docs = spark.createDataFrame([(1, 5)] * 500 + [(i, 5) for i in range(10, 60)], "k long, h long").selectExpr("*", "monotonically_increasing_id() rid")
+    got = scratch.repeats(docs, ["k", "h"], line=50).collect()
+    assert len(got) == 550 and len({r.salt for r in got if r.k == 1}) == 500 and all(r.salt == 0 for r in got if r.k != 1)
