@@ -6,8 +6,9 @@ capacities are even shares. Groups are placed in falling order of their largest
 
 At scale the placement has two levels. A group of over ``heavy_share`` of an even shard in any of the
 three is heavy: there are at most ``3 * shards / heavy_share`` of them, and they are placed first, in
-one list. A heavy group of over ``whole_share`` of a shard is cut by a hash of the key into pieces of
-about that size, so that a text with a third of all rows doesn't sit in one shard. All other groups
+one list. A heavy group of over ``whole_share`` of a shard is cut by a hash of the key (and, where one
+key has very many of its rows, of the row) into pieces of about that size: sizes can't be near equal if
+a text with a third of all rows sits in one shard. Groups of that share or less stay whole. All others
 are dealt by hash into buckets, and each bucket is packed by itself into its part of the capacity
 that the heavy groups left.
 """
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import WORD, ship, written
+from .scratch import WORD, repeats, ship, written
 
 
 #: In the dot product bytes count so much, tokens and rows so much: sizes in bytes are to be near equal.
@@ -49,13 +50,14 @@ def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "
 
     size: UTF-8 bytes of the text (null: none) plus 16. slot counts the rows of a shard from 0 without
     gaps. Null and empty texts are one group. A null key is an ordinary key. Repeated rows each get a
-    slot. No rows give no rows. Fewer groups than shards leave shards empty.
+    slot. No rows give no rows. Fewer groups than shards leave shards empty. Of equal dot products the
+    first shard is taken; groups of equal shares go by their digest.
     """
     spark = docs.sparkSession
     ship(spark)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    slim = docs.select(F.col(key).alias("k"), t.alias("t"))
-    slim = slim.select("k", (F.octet_length("t") + 16).cast("long").alias("size"), F.regexp_count("t", F.lit(WORD)).cast("long").alias("tokens"), F.crc32(F.col("t").cast("binary")).alias("text_crc32"), F.unhex(F.sha2("t", 256)).alias("g"))
+    slim = docs.select(F.col(key).alias("k"), t.alias("t"), F.monotonically_increasing_id().alias("rid"))
+    slim = slim.select("rid", "k", (F.octet_length("t") + 16).cast("long").alias("size"), F.regexp_count("t", F.lit(WORD)).cast("long").alias("tokens"), F.crc32(F.col("t").cast("binary")).alias("text_crc32"), F.unhex(F.sha2("t", 256)).alias("g"))
     slim = written(slim, "slim")
     groups = written(slim.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("tokens").alias("tokens")), "groups")
     total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("n") * F.col("size"), F.col("n") * F.col("tokens"), F.col("n"), F.lit(1)))).first()
@@ -69,7 +71,8 @@ def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "
         raise AssertionError(f"{len(heavy)} groups are over {heavy_share} of an even shard; {most} can be")
     cut = {bytes(r["g"]): max(1, math.ceil(r["share"] / whole_share)) if r["share"] > whole_share else 1 for r in heavy}
     cuts = F.broadcast(spark.createDataFrame([(bytearray(g), k) for g, k in cut.items()], "g binary, pieces int"))
-    rows = slim.join(cuts, "g", "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("k"), "pieces").cast("int")).when(F.col("pieces") == 1, 0))
+    rows = repeats(slim, ["k", "g"]).drop("rid").join(cuts, "g", "left")
+    rows = rows.withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("k", "salt"), "pieces").cast("int")).when(F.col("pieces") == 1, 0))
 
     counted = {(bytes(r["g"]), 0): (r["n"] * r["size"], r["n"] * r["tokens"], r["n"]) for r in heavy if cut[bytes(r["g"])] == 1}
     for r in rows.where("pieces > 1").groupBy("g", "piece").agg(F.sum("size").alias("b"), F.sum("tokens").alias("w"), F.count(F.lit(1)).alias("n")).collect():
@@ -101,7 +104,7 @@ def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "
     both = written(heavy_rows.unionByName(light_rows), "assigned")
 
     parts = max(1, math.ceil(total[2] / (bucket_groups * 4)))
-    both = both.withColumn("part", F.pmod(F.xxhash64("k", "g"), F.lit(parts)))
+    both = both.withColumn("part", F.pmod(F.xxhash64("k", "g", "salt"), F.lit(parts)))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = both.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("k", "g")) - 1

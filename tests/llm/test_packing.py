@@ -70,3 +70,35 @@ def test_written_shards(spark, tmp_path):
     packing.write_shards(docs, f"file://{tmp_path}/shards", shards=4)
     back = spark.read.parquet(f"file://{tmp_path}/shards")
     assert back.count() == 40 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_bytes_tokens_and_rows_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.assign(docs).collect()
+    sums = [Counter(), Counter(), Counter()]
+    for r in rows:
+        for c, v in zip(sums, (r["size"], r.tokens, 1), strict=True):
+            c[r.shard] += v
+    for c, within in zip(sums, (0.03, 0.15, 0.15), strict=True):
+        assert len(c) == 40 and max(c.values()) - min(c.values()) < within * sum(c.values()) / 40 * 2
+
+
+def test_only_a_text_of_over_half_a_shard_is_cut(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 97} of some words") for i in range(4000)], "doc_id long, text string")
+    shards = defaultdict(set)
+    for r in packing.assign(docs, shards=4).collect():
+        shards[bytes(r.text_sha)].add(r.shard)
+    assert len(shards) == 97 and all(len(s) == 1 for s in shards.values())
+
+
+def test_equal_products_take_the_first_shard():
+    assert packing.place(np.full((3, 3), 0.1), np.ones((4, 3))).tolist() == [0, 1, 2]
+
+
+def test_one_key_and_text_in_most_rows(spark):
+    docs = spark.createDataFrame([(1, "the same row")] * 6000 + [(i, f"other text {i}") for i in range(10, 1000)], "doc_id long, text string")
+    rows = checked(docs, shards=8)
+    size = Counter()
+    for r in rows:
+        size[r.shard] += r["size"]
+    assert max(size.values()) < 1.3 * sum(size.values()) / 8
