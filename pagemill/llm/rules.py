@@ -3,8 +3,8 @@
 Lines are normalised (white space runs to one space, trimmed, lower case, digit runs to 0) and hashed
 together with their host. Lines found in more than ``most_docs`` distinct documents of a host are
 removed, and a document that keeps too little of its lines is rejected. Removal joins the lines of
-documents to the lines over the limit: the most frequent of these, at most ``HOT`` by their threshold,
-are broadcast; each other one is in few documents, so no key of the shuffled join is hot.
+documents to the lines over the limit: those that occur most often, at most ``HOT`` by their threshold,
+are broadcast; each other one occurs rarely, so no key of the shuffled join is hot.
 """
 
 from __future__ import annotations
@@ -67,9 +67,9 @@ def measured(rows: DataFrame) -> DataFrame:
 
 
 def over_limit(rows: DataFrame, most_docs: int) -> DataFrame:
-    """h, docs: the lines found in more than most_docs distinct documents of a host."""
-    each = rows.select("k", F.explode("lines.h").alias("h"))
-    return each.groupBy("h").agg(F.count_distinct(F.struct("k")).alias("docs")).where(F.col("docs") > most_docs)
+    """h, times: the lines found in more than most_docs distinct documents of a host, and how often they occur."""
+    each = rows.select("k", F.explode("lines.h").alias("h")).groupBy("h", "k").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("times")).where(F.col("docs") > most_docs).drop("docs")
 
 
 def removed_lines(rows: DataFrame, most_docs: int) -> DataFrame:
@@ -77,9 +77,9 @@ def removed_lines(rows: DataFrame, most_docs: int) -> DataFrame:
     bad = written(over_limit(rows, most_docs), "lines")
     pairs = rows.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     line = F.lit(max(most_docs, pairs // HOT))
-    hot = F.broadcast(bad.where(F.col("docs") > line).select("h"))
+    hot = F.broadcast(bad.where(F.col("times") > line).select("h"))
     each = rows.select("rid", F.inline("lines"))
-    rest = each.join(hot, "h", "left_anti").join(bad.where(F.col("docs") <= line).select("h"), "h", "left_semi")
+    rest = each.join(hot, "h", "left_anti").join(bad.where(F.col("times") <= line).select("h"), "h", "left_semi")
     return each.join(hot, "h", "left_semi").unionByName(rest)
 
 
