@@ -2,8 +2,9 @@
 
 Headers alone are shuffled by payload digest to find, for each payload that repeats, the response
 that the others revisit; a hot digest meets only partial maxima and a salted join. Payloads are moved
-once, by page, to the writer. Archives are written by Spark's text writer with the record end as line
-separator, so they can lie in any store that Spark reaches and its commit protocol holds for them.
+once, by page, to the writer, into as many archives as their bytes need. Archives are written by Spark's
+text writer with the record end as line separator, so they can lie in any store that Spark reaches and
+its commit protocol holds for them; the writer names them ``part-*.txt.gz``.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .scratch import scratch_path, ship, written
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Parts that a repeated key is dealt to in joins of headers.
-SALTS = 16
+#: Headers of one digest beyond which it is broadcast (at most HOT digests are), and bytes of payload meant for an archive.
+COLD, HOT, ARCHIVE = 2048, 50_000, 128_000_000
 
 RECORD = "page_id long, url string, record_type string, record_id string, payload_digest string, payload_bytes long, refers_to_id string"
 
@@ -33,11 +34,16 @@ def roles(pages: DataFrame, least: int = 1000) -> DataFrame:
     Of pages with equal payloads of ``least`` bytes or more, that with the largest page_id is the
     response. Pages with a null page_id are never in it.
     """
-    head = pages.select("page_id", "digest", "payload_bytes").where(F.col("payload_bytes") >= least)
-    best = head.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = head.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    return own.join(best, ["digest", "salt"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    head = pages.select("page_id", "digest", "payload_bytes").where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
+    best = written(head.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    return met(head, best, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+
+
+def met(rows: DataFrame, best: DataFrame, key: str) -> DataFrame:
+    """rows joined to best, which has a row and the number n of rows for each key; frequent keys are broadcast."""
+    line = max(COLD, (best.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(best.where(F.col("n") > line))
+    return rows.join(hot, key).unionByName(rows.join(best.where(F.col("n") <= line), key))
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
@@ -46,7 +52,7 @@ def record_id(page_id: Column, digest: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """A gzipped WARC 1.1 file for each task: a response or a revisit record for each row of pages.
+    """Gzipped WARC 1.1 files of about ``ARCHIVE`` bytes: a response or a revisit record for each row of pages.
 
     Payload: html in UTF-8, null html the empty payload. Rows with a null page_id have no page header;
     a null url has no target header; line breaks in a url become spaces. Rows that repeat page_id and
@@ -73,6 +79,9 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
+    size = rows.agg(F.sum("payload_bytes")).first()[0] or 0
+    if size > ARCHIVE:
+        rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // ARCHIVE)), F.xxhash64("page_id", "digest", "url"))
     rows.select(F.concat(lines, F.lit(END), block).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 20000).text(path)
 
 
@@ -126,12 +135,13 @@ def read_archives(spark, path: str) -> DataFrame:
 def resolve(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits joined to their responses."""
     revisits = records.where("record_type = 'revisit'")
-    wanted = revisits.select(F.col("refers_to_id").alias("id")).distinct()
-    origin = records.where("record_type = 'response'").select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n")).join(wanted, "id").dropDuplicates(["id"])
-    origin = origin.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = revisits.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    found = own.join(origin, (own.refers_to_id == origin.id) & (own.salt == origin.salt), "left")
-    found = found.select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    wanted = revisits.groupBy(F.col("refers_to_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    origin = records.where("record_type = 'response'").select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes")).join(wanted, "id").dropDuplicates(["id"])
+    own = revisits.withColumnRenamed("refers_to_id", "id")
+    found = met(own, written(origin, "origins"), "id")
+    lost = own.join(origin.select("id"), "id", "left_anti").withColumns({"refers_to": F.lit(None).cast("long"), "bytes": F.lit(None).cast("long"), "n": F.lit(0).cast("long")})
+    found = found.unionByName(lost.select(found.columns))
+    found = found.select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     kept = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     return kept.unionByName(found)
 
