@@ -44,8 +44,9 @@ def made(n=240, dims=6, seed=0):
 @pytest.mark.parametrize(("cell", "block"), [(2048, 2048), (16, 8), (40, 1000)])
 def test_as_brute_force(spark, monkeypatch, cell, block):
     monkeypatch.setattr(metric_join, "CELL", cell)
-    monkeypatch.setattr(metric_join, "PIVOTS", 10**6 if cell < 2048 else 1024)
-    monkeypatch.setattr(metric_join, "BLOCK", block)
+    monkeypatch.setattr(metric_join, "FAN", 4 if cell < 2048 else 64)
+    monkeypatch.setattr(metric_join, "STREAM", 30 if cell < 2048 else 20_000)
+    monkeypatch.setattr(metric_join, "CHUNK", block)
     rows = made()
     got = metric_join.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
     want = brute([(k, [float(np.float32(x)) for x in v], label) for k, v, label in rows])
