@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sample import by_class
-from .scratch import remainder, ship, trimmed
+from .scratch import freed, packed, remainder, ship, trimmed
 
 BITS = 15
+#: Bytes that the texts drawn for training hold at most.
+SAMPLE_BYTES = 64_000_000
 N_GRAMS = (1, 2, 3, 4)
 #: Multiplies the values, so that the steps of training are of a usual size.
 SCALE = 50.0
@@ -192,17 +194,19 @@ def train(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text",
     """A model from rows with text and a label; None without any.
 
     Document frequencies are counted over all rows; weights are fitted on ``per_class`` rows of each
-    class at most, a fifth of them set aside for the temperature.
+    class at most, whole texts of ``SAMPLE_BYTES`` in all, a fifth of them set aside for the
+    temperature. Over 2,000 classes are refused with ValueError.
     """
     rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    drawn = by_class(rows, label, key, text, per_class)
+    drawn = by_class(rows, label, key, text, per_class, SAMPLE_BYTES)
     classes = sorted({c for c, _ in drawn})
     if not classes:
         return None
     df, n = document_frequency(rows, text)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     made = []
-    for c, t in drawn:
+    while drawn:
+        c, t = drawn.pop(0)
         f, _ = features(words_of(t)) if words_of(t) else (np.zeros(0, np.int32), None)
         if len(f):
             at, tf = np.unique(f, return_counts=True)
@@ -227,7 +231,8 @@ def predict(rows: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """row, a struct of all columns of rows, lang_pred and score of every whole text.
 
     score: the calibrated probability of the class. Null texts and texts without a letter are ``und``
-    with score 0, and so is every text if there was nothing to learn. Repeated rows stay.
+    with score 0, and so is every text if there was nothing to learn. Of equal probabilities the first
+    class by name is taken. Repeated rows stay.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -248,14 +253,16 @@ def predict(rows: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 score = np.where(known, p[np.arange(len(texts)), best], 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
-    return packed.mapInArrow(lambda b: trimmed(run(b)), T.StructType([*packed.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    whole = rows.select(packed(rows))
+    return whole.mapInArrow(lambda b: trimmed(run(b)), T.StructType([*whole.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
 def learned(docs: DataFrame) -> Model | None:
     """From text and language of documents whose crc32 remainder by 3 isn't 1."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return train(rows.where(remainder("doc_id", 3) != 1), "lang")
+    model = train(rows.where(remainder("doc_id", 3) != 1), "lang")
+    freed()
+    return model
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -70,3 +70,9 @@ def test_odd_rows(spark):
     assert langid.digests(empty(spark)).collect() == []
     blind = langid.digests(docs.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()
     assert all(r.lang_pred == "und" for r in blind)
+
+
+def test_equal_probabilities_give_the_first_class(spark):
+    model = langid.Model(["aa", "bb"], np.zeros((1 << langid.BITS, 2)), 1.0)
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    assert [(r.lang_pred, r.score) for r in langid.predict(docs, model).collect()] == [("aa", 0.5)]
