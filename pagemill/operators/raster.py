@@ -57,12 +57,20 @@ def palette(colours: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "place", "x.bin", "x.n", "x.colour")
 
 
+def shades(colours: DataFrame, most: int = 4096) -> DataFrame:
+    """place, shade of a palette for broadcast; one of over ``most`` colours is refused with ValueError."""
+    own = colours.select("place", F.col("colour").alias("shade"))
+    if own.limit(most + 1).count() > most:
+        raise ValueError(f"a palette of over {most} colours")
+    return F.broadcast(own)
+
+
 def palette_votes(samples: DataFrame, colours: DataFrame, keys: list[str]) -> DataFrame:
     """keys, colour, share: the palette colour that most samples are nearest to, and its share.
 
-    samples: keys, colour; colours: place, colour, a palette small by its making. Ties go to the lower place.
+    samples: keys, colour; colours: place, colour, a palette of 4,096 colours at most. Ties go to the lower place.
     """
-    own = F.broadcast(colours.select("place", F.col("colour").alias("shade")))
+    own = shades(colours)
     distinct = samples.groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("n"))
     near = distinct.crossJoin(own).groupBy(*keys, "colour", "n").agg(F.min(F.struct(colour_distance(F.col("colour"), F.col("shade")).alias("d"), "place", "shade")).alias("b"))
     votes = near.groupBy(*keys, F.col("b.place").alias("place"), F.col("b.shade").alias("shade")).agg(F.sum("n").alias("n"))

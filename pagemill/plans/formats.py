@@ -10,19 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The formats known, in their order.
-IMAGES = "png jpg jpeg webp bmp tif tiff gif".split()
-AUDIO = "mp3 wav flac aac ogg m4a".split()
-VIDEO = "mp4 mov avi mkv webm wmv flv".split()
-DOCUMENTS = "pdf docx pptx xlsx xls html htm txt md csv json xml epub".split()
-OFFICE = "docx pptx xlsx xls".split()
-IMAGE_TARGETS = "png jpg webp bmp tiff gif".split()
-PAGE_TARGETS = "pdf docx pptx md txt".split()
-VIDEO_TARGETS = "mp4 webm mov avi mkv wmv flv".split()
-AUDIO_TARGETS = "mp3 wav flac aac ogg m4a".split()
+IMAGES = ["png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff", "gif"]
+AUDIO = ["mp3", "wav", "flac", "aac", "ogg", "m4a"]
+VIDEO = ["mp4", "mov", "avi", "mkv", "webm", "wmv", "flv"]
+DOCUMENTS = ["pdf", "docx", "pptx", "xlsx", "xls", "html", "htm", "txt", "md", "csv", "json", "xml", "epub"]
+OFFICE = ["docx", "pptx", "xlsx", "xls"]
+IMAGE_TARGETS = ["png", "jpg", "webp", "bmp", "tiff", "gif"]
+PAGE_TARGETS = ["pdf", "docx", "pptx", "md", "txt"]
+VIDEO_TARGETS = ["mp4", "webm", "mov", "avi", "mkv", "wmv", "flv"]
+AUDIO_TARGETS = ["mp3", "wav", "flac", "aac", "ogg", "m4a"]
 
 KINDS = {"image": IMAGES, "audio": AUDIO, "video": VIDEO, "document": DOCUMENTS}
 CANDIDATES = [*IMAGE_TARGETS, *PAGE_TARGETS, *VIDEO_TARGETS, *AUDIO_TARGETS]
-MODES = "pages layout text ocr".split()
+MODES = ["pages", "layout", "text", "ocr"]
 
 
 def normalised(ext: Column) -> Column:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from .formats import AUDIO_TARGETS
 
-# Container, video codec, audio codec, sample rate, channels (0: as the source has them).
+# Fixed values, in their order: container, video codec, audio codec, sample rate; and beside them channels (0: as the source has them).
 CODECS = [
     ("mp4", "libx264", "aac", 44100, 0),
     ("mov", "libx264", "aac", 44100, 0),
     ("mkv", "libx264", "aac", 44100, 0),
-    ("flv", "libx264", "aac", 44100, 0),
     ("webm", "libvpx-vp9", "libopus", 48000, 0),
     ("avi", "mpeg4", "libmp3lame", 44100, 2),
     ("wmv", "wmv2", "wmav2", 44100, 2),
+    ("flv", "libx264", "aac", 44100, 0),
 ]
 EVEN = "pad=ceil(iw/2)*2:ceil(ih/2)*2"
 SCALE_720 = "scale=w='if(gte(iw,ih),min(iw,1280),min(iw,720))':h='if(gte(iw,ih),min(ih,720),min(ih,1280))':force_original_aspect_ratio=decrease:force_divisible_by=2"

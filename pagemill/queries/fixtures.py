@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 
 # Extensions dealt to documents by their number.
-EXTENSIONS = "pdf PNG jpeg docx txt html mp4 tiff csv mp3 pptx bin".split()
+EXTENSIONS = ["pdf", "PNG", "jpeg", "docx", "txt", "html", "mp4", "tiff", "csv", "mp3", "pptx", "bin"]
 
 
 def values(rows: list[tuple], names: str) -> str:

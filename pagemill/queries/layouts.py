@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import pages, paragraphs, raster, recognition
+from ..operators import flow, pages, paragraphs, raster, recognition
 from ..plans import media
 from ..sources.tables import table
 from .fixtures import BOXES, COLOURS, LINES, PARAGRAPH_LINES, SAMPLES, SPANS, boxes, colours, lines, paragraph_lines, samples, spans, values
@@ -59,6 +59,40 @@ def nms_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.distinct_lines(boxes(spark, sf_dir)).select("page", "n")
 
 
+FLOW = f"""{BOXES}, m AS (SELECT page, n, CASE WHEN n % 6 = 0 THEN (10 + n % 80)::VARCHAR ELSE trim(text) END AS text, confidence, height, family, fit, x0, y0, x1, y1, n % 3 <> 0 AS tile, CASE n % 3 WHEN 1 THEN 30 WHEN 2 THEN 480 ELSE 0 END AS x, CASE n % 3 WHEN 1 THEN 15 ELSE 0 END AS y, CASE n % 3 WHEN 0 THEN 1000 ELSE 400 END AS w, CASE n % 3 WHEN 0 THEN 2000 ELSE 300 END AS h FROM boxes),
+moved AS (SELECT *, x0 - x AS a0, y0 - y AS b0, x1 - x AS a1, y1 - y AS b1 FROM m),
+located AS (SELECT * FROM moved WHERE confidence >= 0.5 AND NOT (tile AND ((x > 0 AND a0 < 8) OR (y > 0 AND b0 < 8) OR (x + w < 1000 AND a1 > w - 8) OR (y + h < 2000 AND b1 > h - 8)))),
+ranked AS (SELECT page, list({{'n': n, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY confidence DESC, length(text) DESC, n) AS r FROM located GROUP BY page),
+kept AS (SELECT page, unnest(list_transform(list_reduce(list_transform(r, lambda x: [x]), lambda acc, one: CASE WHEN len(list_filter(acc, lambda k: {OVERLAP.replace('x.', 'one[1].').replace('kone[1].', 'k.')} > 0.60)) > 0 THEN acc ELSE list_concat(acc, one) END), lambda k: k.n)) AS n FROM ranked),
+l AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY round_even(y0 / 12, 0), x0, n) - 1 AS place FROM located SEMI JOIN kept USING (page, n)),
+s AS (SELECT * FROM (SELECT a.page, a.n, a.place, a.text, a.height, b.family, b.fit, row_number() OVER (PARTITION BY a.page, a.n ORDER BY b.fit DESC, b.n) AS r FROM l a JOIN l b ON a.page = b.page AND a.text = b.text AND b.height / a.height > 0.85 AND b.height / a.height < 1.18) WHERE r = 1),
+d AS (SELECT * FROM s WHERE regexp_full_match(text, '[0-9]{{2}}')),
+v AS (SELECT a.page, a.n, b.family, count(*) AS votes, max(b.fit) AS fit, sum(count(*)) OVER (PARTITION BY a.page, a.n) AS peers FROM d a JOIN d b ON a.page = b.page AND b.height / a.height > 0.72 AND b.height / a.height < 1.4 GROUP BY a.page, a.n, b.family),
+o AS (SELECT page, n, family AS lf, fit AS lt FROM (SELECT *, row_number() OVER (PARTITION BY page, n ORDER BY votes DESC, family) AS r FROM v) WHERE r = 1 AND peers >= 3),
+lines AS (SELECT page, n, place, text, CASE WHEN lf IS NULL THEN family ELSE lf END AS family, CASE WHEN lf IS NULL THEN fit ELSE lt END AS fit FROM s LEFT JOIN o USING (page, n))"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n") % 3
+    x, y = F.when(n == 1, 30).when(n == 2, 480).otherwise(0), F.when(n == 1, 15).otherwise(0)
+    text = F.when(F.col("n") % 6 == 0, (10 + F.col("n") % 80).cast("string")).otherwise(F.col("text"))
+    b = boxes(spark, sf_dir).withColumns({"text": text, "x": x, "y": y, "w": F.when(n == 0, 1000).otherwise(400), "h": F.when(n == 0, 2000).otherwise(300), "tile": n != 0, "width": F.lit(1000), "height": F.lit(2000)})
+    return b.withColumns({"x0": F.col("x0") - F.col("x"), "x1": F.col("x1") - F.col("x"), "y0": F.col("y0") - F.col("y"), "y1": F.col("y1") - F.col("y")})
+
+
+@query(f"WITH {FLOW} SELECT page, n, place, text, family, fit FROM lines")
+def recognised_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an engine's candidates to a page's lines."""
+    got = flow.recognised_lines(candidates(spark, sf_dir))
+    return got.select("page", "n", F.col("place").cast("long").alias("place"), "text", "family", "fit")
+
+
+@query(f"WITH {FLOW} SELECT page, string_agg(text, chr(10) ORDER BY place) AS text FROM lines GROUP BY page")
+def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of recognised pages."""
+    return flow.page_texts(flow.recognised_lines(candidates(spark, sf_dir)))
+
+
 @query(f"WITH {BOXES} SELECT page, n, row_number() OVER (PARTITION BY page ORDER BY round_even(y0 / 12, 0), x0, n) - 1 AS place FROM boxes")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in the order they are read."""

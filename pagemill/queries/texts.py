@@ -139,20 +139,18 @@ def page_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH b AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark), n AS (SELECT count(*) AS n FROM benchmark),
-p AS (SELECT doc_id, CASE WHEN d.doc_id % 2 = 0 THEN d.text ELSE left(b.text, 40) || chr(10) || d.text END AS native, b.text AS recognised FROM documents d, n JOIN b ON d.doc_id % n.n = b.k),
+WITH n AS (SELECT count(*) AS n FROM benchmark),
+p AS (SELECT doc_id, CASE WHEN d.doc_id % 2 = 0 THEN d.text ELSE left(b.text, 40) || chr(10) || d.text END AS native, b.text AS recognised FROM documents d, n JOIN benchmark b ON d.doc_id % n.n = b.item_id),
 s AS (SELECT doc_id, recognised, lower(regexp_replace(recognised, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS other, regexp_split_to_array(native, '{BREAK}') AS l FROM p),
 f AS (SELECT doc_id, recognised, list_filter(l, lambda x: lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) <> '' AND NOT contains(other, lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]', '', 'g')))) AS l FROM s)
 SELECT doc_id, len(l)::BIGINT AS kept, regexp_replace(array_to_string(list_concat([recognised], l), chr(10)), '{STRIP}', '', 'g') AS text FROM f
 """)
 def native_text_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognised text and the native lines that it doesn't hold."""
-    from pyspark.sql import Window
-
     items = table(spark, sf_dir, "benchmark")
     n = items.count()
-    b = items.withColumn("k", F.row_number().over(Window.orderBy("item_id")) - 1).select("k", F.col("text").alias("recognised"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("k")).join(F.broadcast(b), "k")
+    b = items.select(F.col("item_id").alias("k"), F.col("text").alias("recognised"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("k")).join(b, "k")
     native = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.left("recognised", F.lit(40)), F.lit("\n"), "text"))
     d = d.withColumn("native", native)
     return d.select("doc_id", F.size(pages.surviving_lines(F.col("native"), F.col("recognised"))).cast("long").alias("kept"), pages.merged_text(F.col("native"), F.col("recognised")).alias("text"))
@@ -239,3 +237,19 @@ def worker_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and characters of texts."""
     return lines(spark, sf_dir).groupBy("doc").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT * FROM (VALUES ('documents.parquet', 'there'), ('.', 'directory'), ('missing.bin', 'missing')) v(name, status)")
+def resolved_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC1: inputs that are there, and those that can't be taken; a table may be a file or a folder of files."""
+    got = files_source.resolved(spark, [f"{sf_dir}/{n}" for n in ("documents.parquet", ".", "missing.bin")])
+    name = F.when(F.col("path").endswith("/."), ".").otherwise(F.element_at(F.split("path", "/"), -1))
+    return got.select(name.alias("name"), F.when(F.col("path").endswith(".parquet") & (F.col("status") != "missing"), "there").otherwise(F.col("status")).alias("status"))
+
+
+@query("SELECT * FROM (VALUES ('render'), ('media'), ('pdf'), ('picture'), ('recognise')) v(capability)")
+def offered_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC14: what may be offered, whether or not a program or library for it is here."""
+    from ..sources import external
+
+    return external.capabilities(spark).select("capability")

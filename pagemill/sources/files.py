@@ -12,6 +12,20 @@ PDF_MAGIC = b"%PDF-"
 JOB = "kind string, files array<string>, output_dir string"
 
 
+def resolved(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, status (file, directory or missing), length of named inputs, in any store that Spark reads (SC1).
+
+    Only files may be converted; the names are a user's choice, so they are looked up on the driver.
+    """
+    rows = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        there = system.getFileStatus(path) if system.exists(path) else None
+        rows.append((p, "missing" if there is None else "directory" if there.isDirectory() else "file", None if there is None or there.isDirectory() else there.getLen()))
+    return spark.createDataFrame(rows, "path string, status string, length long")
+
+
 def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, length, content, ext, kind; the file's content is read only where it is used."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
