@@ -199,9 +199,11 @@ def mixed_texts(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str =
     first word's first character to its last's last. Rows that repeat key and text each have their own
     share. ``n_chars``, where docs has it as a whole number, is counted anew.
     """
-    rows = written(docs.select(packed(docs), F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(source).alias("source"), F.monotonically_increasing_id().alias("rid")), "rows")
-    got = mix(rows, seed, "k", "t", "source", times=times, rid="rid").where(F.col("size") > 0).select("rid", "passes", "ranges")
-    both = rows.select("rid", "row", "t").join(got, "rid").where((F.col("passes") > 0) | (F.size("ranges") > 0))
+    rows = written(docs.select(packed(docs), F.monotonically_increasing_id().alias("rid")), "rows")
+    of = lambda c: F.col("row")[c]
+    whole = of(text).cast("string")
+    got = mix(rows.select(of(key).alias("k"), whole.alias("t"), of(source).alias("source"), "rid"), seed, "k", "t", "source", times=times, rid="rid")
+    got = got.where((F.col("size") > 0) & ((F.col("passes") > 0) | (F.size("ranges") > 0))).select("rid", "size", "passes", "ranges")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, parts: pd.Series) -> pd.Series:
@@ -209,18 +211,20 @@ def mixed_texts(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str =
 
         out = []
         for t, rs in zip(texts, parts, strict=True):
-            at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
-            out.append("\n".join(t[at[r["lo"]][0] : at[r["hi"] - 1][1]] for r in rs))
+            at = [] if t is None else [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+            out.append(None if t is None else "\n".join(t[at[r["lo"]][0] : at[r["hi"] - 1][1]] for r in rs))
         return pd.Series(out)
 
-    whole = both.where("passes > 0").withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("passes")))).drop("n")
-    entire = (F.size("ranges") == 1) & (F.col("ranges")[0]["lo"] == 0) & (F.col("ranges")[0]["hi"] == F.regexp_count("t", F.lit(WORD)))
-    some = both.where("size(ranges) > 0")
-    parts = some.where(~entire).withColumn("t", cut(F.col("t"), F.col("ranges")))
-    out = whole.unionByName(some.where(entire)).unionByName(parts)
+    # Texts move once, and only those that are cut go to Python.
+    times_taken = F.col("passes") + F.when(F.size("ranges") > 0, 1).otherwise(0)
+    each = rows.join(got, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), times_taken)))
+    first = F.get("ranges", F.lit(0))
+    entire = (F.size("ranges") == 1) & (first["lo"] == 0) & (first["hi"] == F.col("size"))
+    each = each.withColumn("part", (F.col("copy") > F.col("passes")) & ~entire)
+    each = each.withColumn("t", F.coalesce(cut(F.when(F.col("part"), whole), F.when(F.col("part"), F.col("ranges"))), whole))
     counted = "n_chars" in docs.columns and docs.schema["n_chars"].dataType.typeName() in ("long", "integer")
     made = {text: F.col("t")} | ({"n_chars": F.length("t").cast(docs.schema["n_chars"].dataType)} if counted else {})
-    return out.select(*(made.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return each.select(*(made.get(c, of(c)).alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame) -> DataFrame:
