@@ -33,11 +33,11 @@ from .scratch import freed, remainder, ship, trimmed, written
 #: Words whose counts every worker holds; a word of more bytes than LONG stands as its digest.
 HOT, LONG = 100_000, 64
 #: The network's own types (the end among them): at least, at most, and between them so many of the root of all tokens.
-TYPES, MOST_TYPES, ROOT_SHARE = 1024, 16384, 0.25
+TYPES, MOST_TYPES, ROOT_SHARE = 1024, 16384, 0.15
 H = 16
 WINDOW = 32
 #: Rounds over all rows to learn from, streams of a task at most, and tokens laid out in streams at once.
-ROUNDS, STREAMS, LAID = 2, 256, 1 << 20
+ROUNDS, STREAMS, LAID = 2, 512, 1 << 20
 #: Tokens scored at once, distinct words counted before they are handed on, and bytes of text split at once.
 CHUNK, COUNTED, SPLIT = 1 << 17, 250_000, 1 << 20
 ALPHA = 0.1
