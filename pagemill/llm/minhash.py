@@ -12,10 +12,10 @@ from the texts, is high enough.
 
 Equal texts are one class from the start. In each band's bucket every member meets one leader, that
 with the most neighbours in its buckets. Where members of a bucket are still in different components,
-what hangs together by such buckets is a cluster, and its texts meet in chunks, all but those of its
-largest component in each: a pair of different components that shares a bucket and whose signatures
-agree is compared there, exactly, until its components are linked. Only links leave the task, so no
-bucket makes all its pairs.
+each such text is at home in a chunk of the largest of these buckets that it is in. A text that isn't of
+its bucket's largest component visits the chunks where the bucket's members are at home: a pair of
+different components that shares a band and whose signatures agree is compared there, exactly, until its
+components are linked. Only links leave the task, so no bucket makes all its pairs.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import ship, trimmed, written
+from .scratch import dropped, packed, ship, trimmed, written
 
 SHINGLE = 5
-COORDINATES, ROWS = 100, 4
+COORDINATES, ROWS = 120, 5
 BANDS = COORDINATES // ROWS
 #: Expected darts of a document.
 DARTS = COORDINATES * (math.log(COORDINATES) + 2)
-#: Agreement of signatures below which a pair isn't compared exactly; five deviations under 0.8.
+#: Agreement of signatures below which a pair isn't compared exactly; over five deviations under 0.8.
 AGREE = 0.6
 #: Buckets whose leaders are broadcast; words in a chunk of texts that meet; links of a compared text to one copy of it.
 HOT, WORDS, COPIES = 50_000, 200_000, 256
@@ -97,8 +97,8 @@ def shingles(words: Words, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """A row of 32-bit coordinates for each weighted set; zeros for an empty one."""
-    out = np.zeros((len(sets), COORDINATES), np.uint32)
+    """A row of 16-bit coordinates for each weighted set; zeros for an empty one."""
+    out = np.zeros((len(sets), COORDINATES), np.uint16)
     todo = np.array([i for i, (s, _) in enumerate(sets) if len(s)], np.int64)
     times = 1.0
     while len(todo):
@@ -120,14 +120,14 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
                 own, rank, key, dart = own[on], rank[on], key[on], dart[on]
                 more = mixed(dart ^ _GOLD)
                 hit = low + width * ((more >> np.uint64(40)).astype(np.float64) / float(1 << 24)) < weight[own]
-                found.append((more[hit] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                found.append((more[hit] & np.uint64(0xFFFF)).astype(np.uint16))
                 ranks.append(rank[hit])
                 cells.append(doc[own[hit]] * COORDINATES + (dart[hit] % np.uint64(COORDINATES)).astype(np.int64))
             low, width, region = (1, 1, 1) if region == 0 else (2 * low, 2 * width, region + 1)
             at = at[weight[at] > low]
         value, rank, cell = np.concatenate(found), np.concatenate(ranks), np.concatenate(cells)
         last = np.argsort(-rank)
-        part = np.zeros(len(todo) * COORDINATES, np.uint32)
+        part = np.zeros(len(todo) * COORDINATES, np.uint16)
         full = np.zeros(len(part), bool)
         part[cell[last]] = value[last]
         full[cell] = True
@@ -182,11 +182,14 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(lambda b: trimmed(run(b)), f"k {kind}, same binary, words long, sig binary, bands array<long>").withColumn("rid", F.monotonically_increasing_id())
 
 
+def few_of(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose key is wanted (once each); up to ``WANTED`` keys are broadcast, counted first."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, key, "left_semi")
+
+
 def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """same, t of the wanted digests, once each."""
-    wanted = written(wanted.distinct(), "wanted")
-    few = wanted.count() <= WANTED
-    return written(texts.join(F.broadcast(wanted) if few else wanted, "same", "left_semi").dropDuplicates(["same"]), "texts")
+    return written(few_of(texts, written(wanted.distinct(), "wanted"), "same").dropDuplicates(["same"]), "texts")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -196,7 +199,8 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     stream past it, so a text with many pairs is neither gathered nor compared in one task.
     """
     spark = pairs.sparkSession
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("copies"))
+    # A table of its own, so that the join with a text of very many pairs can be split.
+    counts = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("copies")), "copies")
     held = fetched(texts, pairs.select(F.col("a").alias("same")).union(pairs.select("b")))
     salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
     first = salted.select("a", "salt").distinct().join(held.withColumnRenamed("same", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "t")
@@ -220,7 +224,7 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def meet(least: float):
-    """A function from rows (cluster, chunk, probe, major, component, id, sig, bands, t), sorted, to links a, b.
+    """A function from rows (home, chunk, probe, component, id, sig, t), sorted, to links a, b.
 
     Rows of a chunk come first, then probes, one at a time past them. A probe and a row are compared if
     they are of different components, here so far too, share a band and agree by signature.
@@ -239,23 +243,24 @@ def meet(least: float):
 
         for batch in batches:
             out = []
-            for cluster, chunk, probe, major, component, i, sig, bands, t in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
-                if (cluster, chunk) != group:
-                    group, root, tables = (cluster, chunk), {}, ()
-                    held = {"id": [], "component": [], "major": [], "sig": [], "bands": [], "set": []}
+            for home, chunk, probe, component, i, sig, t in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (home, chunk) != group:
+                    group, root, tables = (home, chunk), {}, ()
+                    held = {"id": [], "component": [], "sig": [], "set": []}
                 if not probe:
-                    for k, v in (("id", i), ("component", component), ("major", major), ("sig", sig), ("bands", bands), ("set", shingles(words, t))):
+                    for k, v in (("id", i), ("component", component), ("sig", sig), ("set", shingles(words, t))):
                         held[k].append(v)
                     continue
                 if not held["id"]:
                     continue
                 if not tables:
-                    tables = (np.array(held["id"]), np.array(held["major"]), np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(-1, COORDINATES), np.array(held["bands"], np.int64))
-                ids, majors, sigs, keys = tables
-                # Of two probes each meets the other as a row; the pair is compared once.
-                share = (majors | (ids > i)) & (keys == np.array(bands, np.int64)).any(axis=1)
-                at = np.flatnonzero(share)
-                agree = (sigs[at] == np.frombuffer(sig, np.uint32)).mean(axis=1)
+                    sigs = np.frombuffer(b"".join(held["sig"]), np.uint16).reshape(-1, COORDINATES)
+                    tables = (np.array(held["id"]), np.array(held["component"]), sigs, bands(sigs))
+                ids, parts, sigs, keys = tables
+                at = np.flatnonzero(parts != component)
+                mine = np.frombuffer(sig, np.uint16)[None, :]
+                at = at[(keys[at] == bands(mine)).any(axis=1)]
+                agree = (sigs[at] == mine).mean(axis=1)
                 own = None
                 for k in at[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())].tolist():
                     x, y = find(component), find(held["component"][k])
@@ -270,22 +275,24 @@ def meet(least: float):
     return run
 
 
-def apart(own: DataFrame, one: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between the components of members (h, id, component) of buckets that hold several."""
+def apart(own: DataFrame, rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the components of members (h, n, id, component) of buckets that hold several."""
     spark = own.sparkSession
-    edges = own.join(own.groupBy("h").agg(F.min("id").alias("a")), "h").select("a", F.col("id").alias("b")).distinct()
-    clusters = components(edges).withColumnRenamed("component", "cluster")
-    rows = written(own.select("id", "component").distinct().join(clusters, "id").join(one.select("id", "same", "words"), "id"), "clusters")
-    sums = rows.groupBy("cluster", "component").agg(F.sum("words").alias("words"))
-    sums = sums.groupBy("cluster").agg(F.max(F.struct("words", "component"))["component"].alias("top"), F.ceil(F.sum("words") / WORDS).cast("int").alias("chunks"))
-    rows = rows.join(sums, "cluster").withColumn("major", F.col("component") == F.col("top"))
-    home = rows.select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("probe"), "major", "component", "id", "same")
-    probes = rows.where("not major").select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"), "major", "component", "id", "same")
-    held = fetched(texts, rows.select("same"))
-    every = home.unionByName(probes).join(one.select("id", "sig", "bands"), "id").join(held, "same")
-    names = ["cluster", "chunk", "probe", "major", "component", "id", "sig", "bands", "t"]
+    ids = written(own.groupBy("id").agg(F.max(F.struct("n", "h"))["h"].alias("home"), F.first("component").alias("component")), "ids")
+    # Signatures, which are rows of their own, are fetched for these texts alone.
+    ids = written(ids.join(few_of(rows.select(F.col("rid").alias("id"), "same", "words", "sig"), ids.select("id"), "id"), "id"), "signed_ids")
+    chunks = ids.groupBy("home").agg(F.ceil(F.sum("words") / WORDS).cast("int").alias("chunks"))
+    homes = written(ids.select("id", "component", "home").join(chunks, "home").select("id", "component", "home", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")), "homes")
+    members = own.join(ids.select("id", "words"), "id")
+    top = members.groupBy("h", "component").agg(F.sum("words").alias("words")).groupBy("h").agg(F.max(F.struct("words", "component"))["component"].alias("top"))
+    places = own.select("h", "id").join(homes.select("id", "home", "chunk"), "id").select("h", "home", "chunk").distinct()
+    visits = own.join(top, "h").where("component <> top").select("h", "id").join(places, "h").select("id", "home", "chunk").distinct()
+    kind = lambda probe: ("home", "chunk", F.lit(probe).alias("probe"), "component", "id")
+    every = homes.select(*kind(False)).unionByName(visits.join(homes.select("id", "component"), "id").select(*kind(True)))
+    every = every.join(ids.select("id", "same", "sig"), "id")
+    held = fetched(texts, ids.select("same"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = every.select(names).repartition(parts, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "probe", "id")
+    sorted_rows = every.join(held, "same").select("home", "chunk", "probe", "component", "id", "sig", "t").repartition(parts, "home", "chunk").sortWithinPartitions("home", "chunk", "probe", "id")
     return written(sorted_rows.mapInArrow(meet(least), "a long, b long"), "apart")
 
 
@@ -303,7 +310,7 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     # A text's rows share its least rid, the text's number from here on.
     texts = docs.select(F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).alias("same"), F.col(text).cast("string").cast("binary").alias("t"))
     firsts = written(rows.groupBy("same").agg(F.min("rid").alias("id")), "firsts")
-    one = written(rows.where("sig is not null").join(firsts.withColumnRenamed("id", "rid").drop("same"), "rid", "left_semi").select(F.col("rid").alias("id"), "same", "words", "sig", "bands"), "firsts_signed")
+    one = written(rows.where("sig is not null").select(F.col("rid").alias("id"), "same", "bands").join(firsts.select("id"), "id", "left_semi"), "firsts_banded")
     names = one.select("id", "same")
     in_bands = one.select("id", F.explode("bands").alias("h"))
     counts = written(in_bands.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
@@ -327,26 +334,33 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
 
     links = compared(stars)
     found = components(links)
-    own = members.join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
+    own = members.join(found, "id", "left").select("h", "n", "id", F.coalesce("component", "id").alias("component"))
     split = own.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
     own = written(own.join(split, "h"), "split")
     if own.limit(1).count():
-        links = links.unionByName(apart(own, one, texts, least))
+        links = links.unionByName(apart(own, rows, texts, least))
         found = components(links)
 
     least_key = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k"), F.col("rid")))
     ids = rows.select("rid", "k", "same").join(firsts, "same").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     ids = written(ids.select("rid", "k", "same", "component"), "classed")
-    best = ids.groupBy("component").agg(least_key.alias("m")).select("component", F.col("m.k").alias("class_id"), F.col("m.rid").alias("best"))
-    return ids.join(best, "component").select(F.col("k").alias(key), "class_id", (F.col("rid") == F.col("best")).alias("kept"), "same")
+    # A class of one row is its own; the others' least rows are a table, so that a large class can be split in the join.
+    best = written(ids.groupBy("component").agg(least_key.alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", F.col("m.k").alias("least"), F.col("m.rid").alias("best")), "classes")
+    dropped(rows, firsts, one, counts, members, leaders, stars, own)
+    alone = F.col("best").isNull()
+    return ids.join(best, "component", "left").select(F.col("k").alias(key), F.when(alone, F.col("k")).otherwise(F.col("least")).alias("class_id"), (alone | (F.col("rid") == F.col("best"))).alias("kept"), "same")
 
 
 def deduplicated(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each class: that with its least key (the other columns' least, if it repeats)."""
-    kept = classes(docs, least, key, text).where("kept").select(F.col(key).alias("_k"), F.col("same").alias("_same"))
+    """One row of docs for each class: that with its least key (the other columns' least, if it repeats).
+
+    The columns of docs are packed in one, so they may have any names.
+    """
+    kept = classes(docs, least, key, text).where("kept").select(F.col(key).alias("k"), F.col("same").alias("s"))
     same = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
-    both = docs.withColumn("_s", same).join(kept, docs[key].eqNullSafe(F.col("_k")) & (F.col("_s") == F.col("_same")), "left_semi")
-    return both.dropDuplicates([key, "_s"]).select(docs.columns)
+    rows = docs.select(packed(docs), F.col(key).alias("own_k"), same.alias("own_s"))
+    both = rows.join(kept, F.col("own_k").eqNullSafe(F.col("k")) & (F.col("own_s") == F.col("s")), "left_semi")
+    return both.groupBy("own_k", "own_s").agg(F.min("row").alias("row")).select("row.*")
 
 
 def digests(docs: DataFrame) -> DataFrame:
