@@ -3,6 +3,7 @@ import json
 import zipfile
 import xml.etree.ElementTree as ET
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -245,3 +246,12 @@ def test_a_division_runs_through():
     left, right = np.array([[255, 255, 255]] * 3), np.array([[0, 0, 0], [255, 255, 255], [90, 90, 90]])
     fill = panels.divided(rows, above, left, right, palette)
     assert (fill[0, :6] == 255).all() and (fill[0, 7:] == 0).all() and (fill[1:] == 255).all()
+
+
+def test_notes_round_ties_as_sql_does(spark):
+    sizes = [(2000, 933), (2000, 733), (2000, 827), (2000, 1863), (2000, 1451), (1000, 875), (8, 7), (0, 0), (3, 3)]
+    rows = spark.createDataFrame(sizes, "before long, after long")
+    got = [r.note for r in rows.select(files.size_note(F.col("before"), F.col("after")).alias("note")).collect()]
+    con = duckdb.connect()
+    want = [con.execute("SELECT CASE WHEN $a < $b THEN '体积减小 ' || format('{:.1f}', round_even((1 - $a / greatest(1, $b)) * 100, 1)) || '%' ELSE '原文件已较精简，本次没有进一步减小体积。' END", {"a": a, "b": b}).fetchone()[0] for b, a in sizes]
+    assert got == want and "53.4" in got[0] and "58.6" in got[2]
