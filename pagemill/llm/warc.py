@@ -22,8 +22,8 @@ from .scratch import scratch_path, ship, written
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Headers of one digest beyond which it is broadcast (at most HOT digests are), and bytes of payload meant for an archive.
-COLD, HOT, ARCHIVE = 2048, 50_000, 128_000_000
+#: Headers of one digest beyond which it is broadcast (at most HOT digests are), and bytes of payload meant for an archive, at most and at least.
+COLD, HOT, ARCHIVE, LEAST_ARCHIVE = 2048, 50_000, 128_000_000, 1_000_000
 
 RECORD = "page_id long, url string, record_type string, record_id string, payload_digest string, payload_bytes long, refers_to_id string"
 
@@ -59,9 +59,14 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "
     payload are each written, in the same role. No rows make an archive of no records.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.col("url").cast("string"), r"[\r\n]+", " ").alias("url"), html.alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    found = roles(rows, least).withColumnRenamed("page_id", "p").withColumnRenamed("digest", "d")
+    size = rows.agg(F.sum("payload_bytes")).first()[0] or 0
+    # Payloads are dealt to their archives here and meet their roles there; the join has nothing to move or sort again.
+    archives = max(-(-size // ARCHIVE), min(rows.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_ARCHIVE)), 1)
+    found = roles(rows, least).withColumnRenamed("page_id", "p").withColumnRenamed("digest", "d").repartition(archives, "p", "d").hint("shuffle_hash")
+    # A column made above the exchange keeps the join from raising its number of partitions.
+    rows = rows.repartition(archives, "page_id", "digest").withColumn("url", F.regexp_replace("url", r"[\r\n]+", " "))
     rows = rows.join(found, (rows.page_id == found.p) & (rows.digest == found.d), "left").drop("p", "d")
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
@@ -79,9 +84,6 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    size = rows.agg(F.sum("payload_bytes")).first()[0] or 0
-    if size > ARCHIVE:
-        rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // ARCHIVE)), F.xxhash64("page_id", "digest", "url"))
     rows.select(F.concat(lines, F.lit(END), block).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 20000).text(path)
 
 

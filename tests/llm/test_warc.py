@@ -4,6 +4,7 @@ import io
 from pathlib import Path
 
 from pyspark.sql import types as T
+from pyspark.sql.readwriter import DataFrameWriter
 
 from pagemill.llm import warc
 
@@ -51,3 +52,22 @@ def test_files_are_warc(spark, tmp_path):
             assert head["warc-refers-to"] in ids and head["warc-profile"] == warc.PROFILE and block.endswith(b"\r\n\r\n")
         else:
             assert hashlib.sha1(block.split(b"\r\n\r\n", 1)[1]).hexdigest() == head["warc-payload-digest"].removeprefix("sha1:")
+
+
+def test_payloads_are_moved_once(spark, sf, tmp_path, monkeypatch):
+    plans, text = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or text(self, path))
+    monkeypatch.setattr(warc, "ARCHIVE", 20_000)
+    monkeypatch.setattr(warc, "LEAST_ARCHIVE", 10_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        src = spark.read.parquet(f"{sf}/pages.parquet")
+        warc.write_archives(src, f"file://{tmp_path}/w")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The last plan is the archives'; its first branch holds the payloads, and the join's other one none.
+    payloads = plans[-1].split("HashAggregate")[0]
+    assert "ShuffledHashJoin" in payloads and "SortMergeJoin" not in payloads and payloads.count("Exchange hashpartitioning") == 2
+    size = sum(len((r.html or "").encode()) for r in src.collect())
+    assert 1 < len(list(Path(tmp_path, "w").glob("*.gz"))) <= -(-size // 20_000)
