@@ -105,6 +105,9 @@ class Model:
         names = [*own, *(w for w in hot if w not in rank)]
         #: Numbers of frequent words, the network's own first; their counts; and the number of all others.
         self.hot = {w: i for i, w in enumerate(names)}
+        #: Types of the network's own words, and whether a long one is among them.
+        self.own_type = rank
+        self.own_long = any(w[:1] == b" " for w in own)
         self.c = np.array([*(hot[w] for w in names), 0], np.int64)
         self.rest_total = total - ends - int(self.c[: self.own].sum())
         self.rest_types = max(0, types - 1 - self.own)
@@ -153,7 +156,14 @@ class Model:
 
     def text(self, words: bytes | None) -> np.ndarray:
         """Types of a text's words, then the end."""
-        return np.concatenate([*(self.typed(self.numbers(ws)) for ws in pieces(words)), np.zeros(1, np.int32)]).astype(np.int32)
+        other, found = self.own + 1, []
+        for ws in pieces(words):
+            found.append(np.fromiter(map(self.own_type.get, ws, repeat(other)), np.int32, len(ws)))
+            if self.own_long:
+                for i in np.flatnonzero(found[-1] == other).tolist():
+                    if len(ws[i]) > LONG:
+                        found[-1][i] = self.own_type.get(name_of(ws[i]), other)
+        return np.concatenate([*found, np.zeros(1, np.int32)])
 
     def step(self, x: np.ndarray, h: np.ndarray):
         a = self.p["u"] @ h
@@ -171,14 +181,12 @@ class Model:
         new += c
         return new, (z, r, c, a[2 * H :])
 
-    def grouped(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each class but the rest with the places of its targets."""
+    def grouped(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Targets' order by class, and each class but the rest with its part of that order."""
         own = self.class_of[target].astype(np.uint16)
         order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(len(self.p["w"]) + 1))
-        for k in range(len(self.p["w"])):
-            if edges[k] < edges[k + 1]:
-                yield k, order[edges[k] : edges[k + 1]]
+        edges = np.searchsorted(own[order], np.arange(len(self.p["w"]) + 1)).tolist()
+        return order, [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
     def output(self, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log chances of types after states; of the rest, of their class alone."""
@@ -187,12 +195,15 @@ class Model:
         np.minimum(e, 60, out=e)
         out = e[self.class_of[target], np.arange(len(target))]
         out -= np.log(np.exp(e, out=e).sum(axis=0))
-        for k, at in self.grouped(target):
+        order, groups = self.grouped(target)
+        place, hs, inner = self.place[target[order]], hs.take(order, axis=1), np.zeros(len(order), out.dtype)
+        for k, at in groups:
             e = self.p["w"][k] @ hs[:, at]
             e += self.p["wb"][k]
             np.minimum(e, 60, out=e)
-            inner = e[self.place[target[at]], np.arange(len(at))]
-            out[at] += inner - np.log(np.exp(e, out=e).sum(axis=0))
+            inner[at] = e[place[at], np.arange(at.stop - at.start)]
+            inner[at] -= np.log(np.exp(e, out=e).sum(axis=0))
+        out[order] += inner
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -248,19 +259,24 @@ class Model:
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["c"], g["cb"] = d @ flat.T, d.sum(axis=1, keepdims=True)
         d_hs = p["c"].T @ d
-        for k, at in self.grouped(aim):
-            part = flat[:, at]
+        order, groups = self.grouped(aim)
+        by_class, places, d_own = flat.take(order, axis=1), self.place[aim[order]], np.zeros_like(flat)
+        for k, at in groups:
+            part = by_class[:, at]
             q = p["w"][k] @ part
             q += p["wb"][k]
             q -= q.max(axis=0)
             np.exp(q, out=q)
             q /= q.sum(axis=0)
-            place = self.place[aim[at]], np.arange(len(at))
+            place = places[at], np.arange(at.stop - at.start)
             loss -= float(np.log(q[place] + 1e-12).sum())
             q[place] -= 1
             q /= len(aim)
             g["w"][k], g["wb"][k] = q @ part.T, q.sum(axis=1, keepdims=True)
-            d_hs[:, at] += p["w"][k].T @ q
+            d_own[:, at] = p["w"][k].T @ q
+        back = np.empty_like(order)
+        back[order] = every
+        d_hs += d_own.take(back, axis=1)
         d_hs = d_hs.reshape(H, steps, n)
         carry, dx, da = np.zeros((H, n), kind), np.empty((3 * H, steps, n), kind), np.empty((3 * H, n), kind)
         for t in range(steps - 1, -1, -1):

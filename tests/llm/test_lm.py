@@ -128,3 +128,14 @@ def test_nothing_to_learn_from(spark):
     only = spark.createDataFrame([(k, "a b a") for k in range(2000) if zlib.crc32(str(k).encode()) % 10 == 0][:3], "doc_id long, text string")
     rows = lm.digests(only).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.n_tokens == 4 and r.base_score == pytest.approx(0) and math.isfinite(r.score) for r in rows)
+
+
+def test_training_looks_words_up_among_the_networks_own():
+    long = b"x" * 100
+    hot = {b"a": 50, lm.name_of(long): 40, b"b": 30, b"rare": 1}
+    m = lm.Model([b"a", lm.name_of(long), b"b"], 5, hot, 130, 6)
+    text = b"a rare b " + long + b" unseen " + b"y" * 90
+    want = [*m.typed(m.numbers(lm.tokens(text))).tolist(), 0]
+    assert want == [1, 4, 3, 2, 4, 4, 0]
+    m.hot = {}
+    assert m.text(text).tolist() == want
