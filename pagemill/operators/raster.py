@@ -249,12 +249,14 @@ def labelled(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if (new == root).all():
             break
         root = new
-    names, part = np.unique(root, return_inverse=True)
+    # A root is its own, so roots are numbered in their order.
+    first = root == np.arange(len(where))
+    part, names = np.cumsum(first)[root] - 1, np.flatnonzero(first)
     out = np.zeros(h * w, int)
     out[where] = part + 1
     y, x = np.divmod(where, w)
     boxes = np.zeros((len(names), 5), int)
-    boxes[:, :2] = [[w, h]] * len(names)
+    boxes[:, :2] = [w, h]
     for col, v, f in ((0, x, np.minimum), (1, y, np.minimum), (2, x + 1, np.maximum), (3, y + 1, np.maximum)):
         f.at(boxes[:, col], part, v)
     boxes[:, 4] = np.bincount(part, minlength=len(names))

@@ -109,3 +109,10 @@ def test_pictures_are_handed_on_in_batches_of_few_bytes(spark, monkeypatch):
     got = list(pages.work(iter([pa.RecordBatch.from_pylist([page])])))
     assert [n for b in got for n in b.column("n").to_pylist()] == list(range(1, 41))
     assert max(b.nbytes for b in got) < 1.3 * artwork.HELD and len(got) > 4
+
+
+def test_lines_without_ink_have_no_row():
+    a = np.full((60, 120, 4), 255, np.uint8)
+    a[20:30, 30:34, :3] = 0
+    left, found = artwork.erased(a, [{"n": 1, "text": "nothing", "x0": 60.0, "y0": 10.0, "x1": 110.0, "y1": 40.0}])
+    assert found == [] and (left == a).all()
