@@ -116,3 +116,15 @@ def test_lines_without_ink_have_no_row():
     a[20:30, 30:34, :3] = 0
     left, found = artwork.erased(a, [{"n": 1, "text": "nothing", "x0": 60.0, "y0": 10.0, "x1": 110.0, "y1": 40.0}])
     assert found == [] and (left == a).all()
+
+
+def test_marks_measure_a_page_once(monkeypatch):
+    a = np.full((60, 120, 4), 9, np.uint8)
+    seen = []
+    monkeypatch.setattr(artwork, "distance_map", lambda *x, own=artwork.distance_map: seen.append(1) or own(*x))
+    pages = Caught()
+    artwork.marks(pages, ["page"])
+    lines = [{"n": k, "text": "x", "x0": 10.0, "y0": 8.0 * k, "x1": 60.0, "y1": 8.0 * k + 6} for k in range(5)]
+    page = {"page": 1, "picture": {"h": 60, "w": 120, "data": a.tobytes()}, "palette": [[9, 9, 9]], "lines": lines, "objects": []}
+    got = [r for b in pages.work(iter([pa.RecordBatch.from_pylist([page])])) for r in b.to_pylist()]
+    assert [r["n"] for r in got] == [0, 1, 2, 3, 4] and all(r["part"] == 1 for r in got) and len(seen) == 1
